@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .positions import buckets_for, hex_fraction_bucket, with_positions
 from .staging import Stage
-from .tokens import WordEncoder, tokenizer_file
+from .tokens import tokenizer_file, word_encoder
 
 QUANTUM = 64
 END_OF_TEXT = 1
@@ -48,11 +48,12 @@ def _tokenized(docs: DataFrame, text_col: str, json_path: str, ranks_path: str,
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, end = WordEncoder(json_path, ranks_path), end_id.to_bytes(4, "little")
+        encoder, end = word_encoder(json_path, ranks_path), end_id.to_bytes(4, "little")
         for batch in batches:
             totals, offsets, starts, lengths, crcs = [], [0], [], [], []
-            for text in batch.column(batch.schema.get_field_index("text")):
-                ids = memoryview(encoder.encode(text.as_py() or "") + end)
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            for encoded in encoder.encode_all(texts):
+                ids = memoryview(encoded.astype("<u4").tobytes() + end)
                 totals.append(len(ids) // 4)
                 for start, length in cuts(totals[-1], quantum):
                     starts.append(start)

@@ -1,16 +1,27 @@
 """Byte-level BPE ids, encoded once per distinct word.
 
-The pre-tokenizer never joins text across a single space that has a non-space on its left
-or right, so a text without double spaces is the concatenation of its space-led words;
-each word's ids are looked up in a cache. Other texts are encoded whole.
+The pre-tokenizer never joins text across a space that has no white space on its left, so a
+text without white space before a space is the concatenation of its space-led words. Words
+are told apart by a 64-bit fingerprint and their length; new ones are encoded together and
+all are then gathered from the pool of known ids. Other texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
+import numpy as np
 
 #: Distinct words a worker remembers; then it starts anew.
-CACHED_WORDS = 1_000_000
+KNOWN_WORDS = 3_000_000
+#: Bytes of text that are split into words at a time.
+STEP_BYTES = 8 << 20
+BASE = 0x9E3779B97F4A7C15
 
 
 def tokenizer_file(name: str) -> str:
@@ -29,8 +40,35 @@ def load_tiktoken(ranks_path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` returned first in this process: Python workers live on from task to task."""
+    held = sys.modules.setdefault("_quaylog_per_process", types.ModuleType("_quaylog_per_process")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+def word_encoder(json_path: str, ranks_path: str) -> WordEncoder:
+    return per_process(("words", json_path, ranks_path), lambda: WordEncoder(json_path, ranks_path))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+def _open_before_space(body: np.ndarray, spaces: np.ndarray) -> np.ndarray:
+    """Which spaces have (or, beyond ASCII, may have) white space on their left."""
+    a, b, c = (np.where(spaces >= k, body[spaces - k], 0) for k in (1, 2, 3))
+    ascii_white = (a == 32) | ((a >= 9) & (a <= 13)) | ((a >= 28) & (a <= 31))
+    two = (b == 0xC2) & ((a == 0x85) | (a == 0xA0))
+    three = ((c == 0xE1) & (b == 0x9A)) | ((c == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((c == 0xE3) & (b == 0x80))
+    return ascii_white | two | three
+
+
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of texts as unsigned 32-bit arrays.
 
     ``json_path`` is the tokenizers file whose ids are wanted, ``ranks_path`` the same
     vocabulary as ranks. A text that spells one of the file's special tokens goes to the
@@ -38,36 +76,108 @@ class WordEncoder:
     """
 
     def __init__(self, json_path: str, ranks_path: str):
-        import json
-
         self.fast = load_tiktoken(ranks_path)
         self.json_path = json_path
         with open(json_path, encoding="utf-8") as f:
             self.specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.exact = None
-        self.cache: dict[str, bytes] = {}
+        self.bytes_of = np.zeros(self.fast.n_vocab, np.int64)
+        for token in self.fast.token_byte_values():
+            self.bytes_of[self.fast.encode_single_token(token)] = len(token)
+        self.up = self.down = np.zeros(0, np.uint64)
+        self._forget()
 
-    def _whole(self, text: str) -> bytes:
-        import numpy as np
+    def _forget(self) -> None:
+        self.keys, self.offset, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
+    def whole(self, text: str) -> np.ndarray:
         if any(s in text for s in self.specials):
             if self.exact is None:
                 from tokenizers import Tokenizer
 
                 self.exact = Tokenizer.from_file(self.json_path)
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if "  " in text or any(s in text for s in self.specials):
-            return self._whole(text)
-        head, *words = text.split(" ")
-        cache, parts = self.cache, [self._whole(head)] if head else []
-        for word in words:
-            ids = cache.get(word)
-            if ids is None:
-                if len(cache) >= CACHED_WORDS:
-                    cache.clear()
-                ids = cache[word] = self._whole(" " + word)
-            parts.append(ids)
-        return b"".join(parts)
+            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.fast.encode_ordinary(text), np.uint32)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            step, size = [], 0
+            while at < len(texts) and (not step or size + len(texts[at]) <= STEP_BYTES):
+                step.append(texts[at])
+                size += len(texts[at])
+                at += 1
+            out += self._step(step)
+        return out
+
+    def _step(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        joined = b"".join(raw)
+        body = np.frombuffer(joined, np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        begins = np.append(0, ends[:-1])
+        if not len(body):
+            return [np.zeros(0, np.uint32) for _ in texts]
+        spaces = np.flatnonzero(body == 32)
+        text_of = np.searchsorted(ends, spaces, side="right")
+        led = spaces > begins[text_of]
+        alone = {int(i) for i in np.unique(text_of[led][_open_before_space(body, spaces[led])])}
+        alone |= {i for i, t in enumerate(texts) if any(s in t for s in self.specials)}
+
+        edge = body == 32
+        edge[begins[ends > begins]] = True
+        starts = np.flatnonzero(edge)
+        stops = np.append(starts[1:], len(body))
+        where = self._known(joined, body, starts, stops)
+        length = self.length[where]
+        before = np.append(0, np.cumsum(length))
+        ids = self.pool[np.arange(before[-1]) + np.repeat(self.offset[where] - before[:-1], length)]
+        cut = before[np.searchsorted(starts, np.append(begins, len(body)))].tolist()
+        return [self.whole(texts[i]) if i in alone else ids[cut[i] : cut[i + 1]] for i in range(len(texts))]
+
+    def _known(self, joined: bytes, body: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Places of words in the pool's tables; words that are new are encoded first."""
+        sums = np.zeros(len(body) + 1, np.uint64)
+        if len(self.up) < len(body):
+            self.up, self.down = _powers(BASE, len(body)), _powers(pow(BASE, -1, 1 << 64), len(body))
+        np.cumsum((body + np.uint64(1)) * self.down[: len(body)], out=sums[1:])
+        key = (sums[stops] - sums[starts]) * self.up[starts]
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (stops - starts).astype(np.uint64)
+        distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.keys) > KNOWN_WORDS:
+            self._forget()
+        at = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != distinct[inside]
+        if new.any():
+            ids, offsets, lengths = self._encode([joined[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
+            offsets += len(self.pool)
+            self.pool = np.concatenate([self.pool, ids])
+            keys = np.concatenate([self.keys, distinct[new]])
+            order = np.argsort(keys)
+            self.keys = keys[order]
+            self.offset = np.concatenate([self.offset, offsets])[order]
+            self.length = np.concatenate([self.length, lengths])[order]
+            at = np.searchsorted(self.keys, distinct)
+        return at[inverse]
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and each word's offset and length there; space-led words in one call."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [i for i, t in enumerate(texts) if t[0] == " " and len(t) > 1 and not t[1].isspace() and not t[-1].isspace()]
+        single = sorted(set(range(len(words))).difference(plain))
+        ids = np.array(self.fast.encode_ordinary("".join([texts[i] for i in plain])), np.uint32)
+        ends = np.cumsum(np.fromiter((len(words[i]) for i in plain), np.int64, len(plain)))
+        lengths = np.zeros(len(words), np.int64)
+        if plain:
+            lengths[plain] = np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1, prepend=0)
+        others = [self.fast.encode_ordinary(texts[i]) for i in single]
+        lengths[single] = [len(x) for x in others]
+        ids = np.concatenate([ids, np.array([t for x in others for t in x], np.uint32)])
+        offsets = np.zeros(len(words), np.int64)
+        order = np.array([*plain, *single], np.int64)
+        offsets[order] = np.cumsum(lengths[order]) - lengths[order]
+        return ids, offsets, lengths
