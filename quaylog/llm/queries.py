@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, shards, simhash, suffixes
+from . import packing, shards, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.label_and_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_suffixes": op5_suffixes, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op10_sharding": op10_sharding}
+    return {"op1_toxicity": op1_toxicity, "op5_suffixes": op5_suffixes, "op6_simhash": op6_simhash, "op7_packing": op7_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
