@@ -6,6 +6,7 @@ the steps before) and gives Catalyst real sizes.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,10 @@ class Stage:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Stage(df, name).df
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that are done; it does so when their
+    objects are collected, which a driver with free memory may put off for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

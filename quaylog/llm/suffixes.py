@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Stage, shared_dir
+from .staging import Stage, release, shared_dir
 
 #: Perfect difference sets: every residue other than 0 is a difference exactly once. Fixed values.
 COVERS = {
@@ -341,6 +341,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     table, path = f"quaylog_chunks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/quaylog/chunks-{uuid.uuid4().hex}"
     chunked = _chunked(pool.select("d.digest", "d.text"), chunk_bytes)
     chunked.repartition(n, "chunk").write.option("compression", "zstd").option("path", path).bucketBy(n, "chunk").saveAsTable(table)
+    release(spark)
     chunks = spark.table(table)
 
     def with_hits(hits: DataFrame, how: str) -> DataFrame:
@@ -348,7 +349,9 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
         return chunks.join(listed.hint("shuffle_hash"), "chunk", how).select("chunk", "digests", "lengths", "body", "hits")
 
     names = Stage(_compare(_send(chunks.select("chunk", "lengths", "body"), 0, window, bits, wide), 0, bits, wide, tasks), "names")
+    release(spark)
     windows = Stage(_compare(_send(with_hits(names.df, "inner"), 1, window, bits, wide), 1, bits, wide, tasks), "windows")
+    release(spark)
     found = Stage(_digests(with_hits(names.df.unionByName(windows.df), "left"), window, bits, wide).dropDuplicates(["digest"]), "removed")
     names.drop()
     windows.drop()
