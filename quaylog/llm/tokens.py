@@ -18,9 +18,9 @@ from typing import Any
 import numpy as np
 
 #: Distinct words a worker remembers; then it starts anew.
-KNOWN_WORDS = 3_000_000
+KNOWN_WORDS = 1_500_000
 #: Bytes of text that are split into words at a time.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
