@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, secrets, shards, simhash, spaced_seeds, suffixes, toxicity
+from . import html_text, packing, revisits, rp_forest, secrets, shards, simhash, spaced_seeds, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.label_and_score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisits.resolved_pages(_read(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -37,13 +46,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.stratified_shards(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_secrets, op5_suffixes, op6_simhash, op7_packing, op8_decontamination, op10_sharding)}
+    numbered = (op1_toxicity, op2_revisits, op3_secrets, op4_neighbours, op5_suffixes, op6_simhash, op7_packing, op8_decontamination, op9_html, op10_sharding)
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": shards.ORACLE}
+    return {"op2_revisits": revisits.ORACLE, "op10_sharding": shards.ORACLE}
