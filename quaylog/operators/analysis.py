@@ -15,15 +15,19 @@ DIMS = {"application": "client_app_name", "database": "database_name", "host": "
 TYPE_NAMES = {5: "Timeout", 7: "Error"}
 
 
-def with_interval(df: DataFrame, minutes: int) -> DataFrame:
-    """Adds interval_id: the second since 2000-01-01 at which a row's interval ends."""
-    anchor = df.agg(clock.seconds(F.min("start_time")).alias("_anchor"))
+def with_interval(df: DataFrame, minutes: int, events: DataFrame | None = None) -> DataFrame:
+    """Adds interval_id: the second since 2000-01-01 at which a row's interval ends.
+
+    The grid begins at the first event of ``events``, the raw capture, so that what ``df`` took
+    to make isn't made twice; of ``df`` itself if there is none.
+    """
+    anchor = (df if events is None else events).agg(clock.seconds(F.min("start_time")).alias("_anchor"))
     return df.join(F.broadcast(anchor)).withColumn("interval_id", clock.interval_end(F.col("start_time"), F.col("_anchor"), minutes)).drop("_anchor")  # one row
 
 
-def executions(paired: DataFrame, minutes: int = 60) -> DataFrame:
+def executions(paired: DataFrame, minutes: int = 60, events: DataFrame | None = None) -> DataFrame:
     """Paired rows with template, sql_hash and interval_id; noise and empty texts are gone."""
-    named = sql_text.normalize_sql(with_interval(drop_empty_executions(paired), minutes))
+    named = sql_text.normalize_sql(with_interval(drop_empty_executions(paired), minutes, events))
     return drop_noise_templates(named).withColumn("sql_hash", sql_text.sql_hash(F.col("template")))
 
 
