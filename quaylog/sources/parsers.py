@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaylog.functions.barrier import once
 from quaylog.functions.sql_text import clean_text, decode_utf16, timeout_duration
 
 #: Text given to a login that isn't pooled.
@@ -23,10 +24,10 @@ def parse_xe(df: DataFrame, xml_col: str = "event_data") -> DataFrame:
     the XML stay.
     """
     known = F.create_map(*[F.lit(x) for k, v in XE_TYPES.items() for x in (k, v)])
-    d = df.withColumn("_x", F.from_xml(F.col(xml_col), XE_SCHEMA)).withColumn("_type", known[F.col("_x._name")]).where("_type IS NOT NULL")
+    d = df.withColumn("_x", once(F.from_xml(F.col(xml_col), XE_SCHEMA))).withColumn("_type", known[F.col("_x._name")]).where("_type IS NOT NULL")
     nodes = F.concat(F.coalesce("_x.data", F.array().cast("array<struct<_name:string,value:string>>")), F.coalesce("_x.action", F.array().cast("array<struct<_name:string,value:string>>")))
     last = F.aggregate(nodes, F.create_map().cast("map<string,string>"), lambda m, n: F.map_concat(F.map_filter(m, lambda k, _: k != n["_name"]), F.create_map(n["_name"], n["value"])))
-    d = d.withColumn("_f", F.map_filter(last, lambda k, _: k.isNotNull()))
+    d = d.withColumn("_f", once(F.map_filter(last, lambda k, _: k.isNotNull())))
 
     def field(name: str) -> Column:
         return F.col("_f").getItem(name)
