@@ -191,7 +191,7 @@ def _(s, d):
     return events(s, d).select("event_sequence", sql_text.param_values(F.concat(F.lit("@A=N'it''s "), "client_host_name", F.lit("',@B = "), F.col("event_sequence"))).alias("out"))
 
 
-@_query("constants", _with("SELECT event_sequence, 'X = {STR}, {STR}, {NSTR}, {BINARY}, -{##} = {##}' AS out FROM cap"))
+@_query("constants", _with("SELECT event_sequence, 'X = {STR}, {STR}, {NSTR}, {BINARY}, {##} = {##}' AS out FROM cap"))
 def _(s, d):
     return events(s, d).select("event_sequence", sql_text.constants(F.concat(F.lit("X = '', 'a', N'"), "client_host_name", F.lit("', 0XAF, -"), F.lit("-1"), F.lit(" = "), F.col("event_sequence"))).alias("out"))
 
@@ -302,7 +302,7 @@ def _(s, d):
     return _analysis(s, d)[1]
 
 
-@_query("assign_dictionary", _with("SELECT row_number() OVER (ORDER BY t, q, client_app_name) - 1 AS id, client_app_name AS name FROM (SELECT client_app_name, min({'a': start_time, 'b': event_sequence}) AS f, f.a AS t, f.b AS q FROM cap WHERE client_app_name IS NOT NULL GROUP BY 1)"))
+@_query("assign_dictionary", _with("SELECT row_number() OVER (ORDER BY f.a, f.b, name) - 1 AS id, name FROM (SELECT client_app_name AS name, min({'a': start_time, 'b': event_sequence}) AS f FROM cap WHERE client_app_name IS NOT NULL GROUP BY 1) x"))
 def _(s, d):
     return analysis.assign_dictionary(events(s, d), "client_app_name")
 
