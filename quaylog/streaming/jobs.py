@@ -35,10 +35,13 @@ def dedup_resume(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return events.withWatermark("start_time", delay).dropDuplicatesWithinWatermark(["session_id", "event_sequence"])
 
 
-def details_by_window(events: DataFrame, minutes: int = 1, delay: str = "10 minutes", anchor: str = "0 seconds") -> DataFrame:
-    """Facts by closed interval; late events beyond ``delay`` are left out."""
+def details_by_window(events: DataFrame, minutes: int = 1, delay: str | None = "10 minutes", anchor: str = "0 seconds") -> DataFrame:
+    """Facts by closed interval; late events beyond ``delay`` are left out.
+
+    None: ``events`` have a watermark already, as those of ``dedup_resume``.
+    """
     d = sql_text.normalize_sql(events.where(F.coalesce(F.length("sql_text"), F.lit(0)) > 0)).where("template IS NOT NULL").withColumn("sql_hash", sql_text.sql_hash(F.col("template")))
-    if events.isStreaming:
+    if events.isStreaming and delay:
         d = d.withWatermark("start_time", delay)
     aggs = [x for m in METRICS for x in (F.expr(f"cast(avg({m}) as long)").alias(f"avg_{m}"), F.min(m).alias(f"min_{m}"), F.max(m).alias(f"max_{m}"), F.coalesce(F.sum(m), F.lit(0)).alias(f"sum_{m}"))]
     keys = [F.col(c).alias(n) for n, c in analysis.DIMS.items()]

@@ -69,7 +69,7 @@ def test_stream_pairing(spark, tmp_path):
 
 def test_stream_details_equal_batch(spark, tmp_path):
     rows = [event(i, -3, duration=i, text=f"select {i}") for i in range(1, 300)] + [event(100_000, -3, duration=1)]
-    stream = jobs.details_by_window(jobs.dedup_resume(_stream(spark, tmp_path, rows + rows[:3]), "1 minute"), 1, "1 minute")
+    stream = jobs.details_by_window(jobs.dedup_resume(_stream(spark, tmp_path, rows + rows[:3]), "1 minute"), 1, None)
     q = stream.writeStream.format("memory").queryName("details").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
