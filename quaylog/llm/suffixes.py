@@ -43,6 +43,8 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
 CHUNK_BYTES = 4 << 20
+#: Chunks that a bucket of the chunk table should hold at most.
+BUCKET_CHUNKS = 16
 #: Names that one range of the sort should hold.
 RANGE_NAMES = 1 << 20
 #: Texts in all beyond which names get a second 64 bits.
@@ -337,7 +339,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     tasks = min(1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * len(cover) // period // RANGE_NAMES)))
 
     pool = keyed.where(F.col("n_bytes") >= window).alias("d").join(groups.alias("g"), (F.col("d.digest") == F.col("g.digest")) & F.col("d.doc_id").eqNullSafe(F.col("g.one")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (BUCKET_CHUNKS * chunk_bytes)))
     table, path = f"quaylog_chunks_{uuid.uuid4().hex}", f"{shared_dir(spark)}/quaylog/chunks-{uuid.uuid4().hex}"
     chunked = _chunked(pool.select("d.digest", "d.text"), chunk_bytes)
     chunked.repartition(n, "chunk").write.option("compression", "zstd").option("path", path).bucketBy(n, "chunk").saveAsTable(table)

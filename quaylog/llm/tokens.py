@@ -18,7 +18,7 @@ from typing import Any
 import numpy as np
 
 #: Distinct words a worker remembers; then it starts anew.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 1_000_000
 #: Bytes of text that are split into words at a time.
 STEP_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
