@@ -67,7 +67,7 @@ def cpu_recent(samples: DataFrame, minutes: int) -> DataFrame:
     """Each sample with the whole mean of the values of the last ``minutes`` before and with it."""
     # a range over time needs one order; samples come once a minute from one server
     w = Window.partitionBy("server").orderBy("second").rangeBetween(-minutes * 60, 0)
-    return samples.withColumn("avg_cpu", F.coalesce(F.avg("value").over(w), F.lit(0.0)).cast("int"))
+    return samples.withColumn("avg_cpu", F.round(F.coalesce(F.avg("value").over(w), F.lit(0.0)), 6).cast("int"))
 
 
 def wait_stats(waits: DataFrame) -> DataFrame:

@@ -591,7 +591,7 @@ def _(s, d):
     return metrics.counter_ratio(both.select("x.*"))
 
 
-@_query("cpu_recent_average", _with(f"SELECT e, trunc(avg(v) OVER (PARTITION BY u % 7 ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))::INTEGER AS avg_cpu FROM (SELECT e, u, least(greatest(value, 0), 100) AS v, {_SECOND.format('ts')} AS s FROM base)"))
+@_query("cpu_recent_average", _with(f"SELECT e, trunc(round(avg(v) OVER (PARTITION BY u % 7 ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW), 6))::INTEGER AS avg_cpu FROM (SELECT e, u, least(greatest(value, 0), 100) AS v, {_SECOND.format('ts')} AS s FROM base)"))
 def _(s, d):
     samples = adapter.user_events(s, d).select("e", (F.col("u") % 7).alias("server"), clock.seconds(F.col("ts")).alias("second"), F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(100.0)).alias("value"))
     return metrics.cpu_recent(samples, 1440).select("e", "avg_cpu")
