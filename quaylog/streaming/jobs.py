@@ -49,7 +49,11 @@ def details_by_window(events: DataFrame, minutes: int = 1, delay: str | None = "
     return grouped.withColumn("interval_end", F.col("w.end")).drop("w")
 
 
-def write_details(details: DataFrame, root: str, workload: str, checkpoint: str, minutes: int = 1):
+def _triggered(writer, trigger: dict[str, Any]):
+    return writer.trigger(**trigger) if trigger else writer
+
+
+def write_details(details: DataFrame, root: str, workload: str, checkpoint: str, minutes: int = 1, **trigger: Any):
     """Appends closed intervals and their rows of the intervals table, batch by batch."""
 
     def save(batch: DataFrame, _: int) -> None:
@@ -58,7 +62,7 @@ def write_details(details: DataFrame, root: str, workload: str, checkpoint: str,
         batch.select("interval_end").distinct().withColumn("duration_minutes", F.lit(minutes)).write.mode("append").parquet(f"{root}/{workload}/intervals")
         batch.unpersist()
 
-    return details.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(save).start()
+    return _triggered(details.writeStream.outputMode("append"), trigger).option("checkpointLocation", checkpoint).foreachBatch(save).start()
 
 
 def pair_stream(events: DataFrame, timeout: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -81,7 +85,9 @@ def pair_stream(events: DataFrame, timeout: str = "30 minutes", delay: str = "10
             done, stack = stack, []
             held.remove()
         else:
-            for row in pd.concat(list(frames)).sort_values("event_sequence").to_dict("records"):
+            rows = pd.concat(list(frames)).sort_values("event_sequence")
+            latest = int(rows["start_time"].max().timestamp() * 1000)
+            for row in rows.to_dict("records"):
                 row = {c: None if pd.isna(row[c]) else row[c] for c in columns}
                 row["start_time"] = str(row["start_time"])
                 if row["event_type"] in STARTS:
@@ -91,7 +97,7 @@ def pair_stream(events: DataFrame, timeout: str = "30 minutes", delay: str = "10
                     if row["duration"]:
                         done.append(stack.pop())
             held.update((json.dumps(stack, default=float),))
-            held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), 0) + millis)
+            held.setTimeoutTimestamp(max(held.getCurrentWatermarkMs(), latest) + millis)
         if done:
             frame = pd.DataFrame(done, columns=columns)
             frame["start_time"] = pd.to_datetime(frame["start_time"])
@@ -125,7 +131,7 @@ def _versioned(path: str) -> tuple[Callable[[SparkSession], DataFrame | None], C
     return read, write
 
 
-def stream_summary(events: DataFrame, path: str, checkpoint: str):
+def stream_summary(events: DataFrame, path: str, checkpoint: str, **trigger: Any):
     """A running summary: every batch's is merged into the version before it. A batch that is
     run again starts from the same version, so nothing is counted twice."""
     read, write = _versioned(path)
@@ -135,10 +141,10 @@ def stream_summary(events: DataFrame, path: str, checkpoint: str):
         old = read(batch.sparkSession, number)
         write(new if old is None else analysis.merge_summary(old, new), number)
 
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge).start()
+    return _triggered(events.writeStream, trigger).option("checkpointLocation", checkpoint).foreachBatch(merge).start()
 
 
-def stream_wait_deltas(snapshots: DataFrame, path: str, checkpoint: str):
+def stream_wait_deltas(snapshots: DataFrame, path: str, checkpoint: str, **trigger: Any):
     """Deltas of each new snapshot against the last one of the batch before."""
     read, write = _versioned(f"{path}/last")
 
@@ -151,4 +157,4 @@ def stream_wait_deltas(snapshots: DataFrame, path: str, checkpoint: str):
         last = both.agg(F.max("snapshot_no").alias("snapshot_no"))
         write(both.join(F.broadcast(last), "snapshot_no"), number)
 
-    return snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(delta).start()
+    return _triggered(snapshots.writeStream, trigger).option("checkpointLocation", checkpoint).foreachBatch(delta).start()
