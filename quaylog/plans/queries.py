@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quaylog.functions import clock, sql_text
 from quaylog.operators import analysis, executions, filters, metrics, report
 from quaylog.sources import adapter, parsers
+from quaylog.sources.scratch import written
 
 MINUTES = 60
 SPLIT = "2024-01-16 00:00:00"
@@ -104,7 +105,7 @@ def execs(spark: SparkSession, d: str, part: str = "1=1", minutes: int = MINUTES
 
 def _analysis(spark: SparkSession, d: str, part: str = "1=1") -> tuple[DataFrame, DataFrame, DataFrame]:
     x = execs(spark, d, part)
-    details = analysis.workload_details(x)
+    details = written(analysis.workload_details(x), "details")
     ivals = analysis.intervals(details, MINUTES)
     return details, ivals, report.points(details, ivals)
 
