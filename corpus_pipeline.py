@@ -18,11 +18,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that fingerprints link, once.
+    """The document of the smallest id of each group that fingerprints or shingles of five words link, once.
 
     Documents without an id can't be told apart and stay.
     """
-    groups = staged(simhash.near_duplicates(docs), "groups")
+    groups = staged(simhash.near_duplicates(docs, similarity=0.8), "groups")
     if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()

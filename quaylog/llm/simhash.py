@@ -226,19 +226,32 @@ def fingerprint_links(fps: DataFrame, threshold: int = 4, block: int = BLOCK) ->
     return ordered.select("part", "anchor", "block", "fp", "home").mapInArrow(_spanning(threshold), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 4) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 4, similarity: float | None = None, set_words: int = 5
+) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
+    With a ``similarity``, texts whose sets of ``set_words`` words resemble each other in as
+    much are linked as well (``resemblance``), except those of documents without an id.
+
     ``component_id`` is the smallest doc_id that links of at most ``threshold`` differing bits
     reach. Texts without words (null, empty, white space) have fingerprint zero and are linked
     like any other. Texts of fewer words than a shingle are one shingle. Repeated rows and ids
     give a row each. Null ids get a row; their component is that of their fingerprint, null
     where no other document is in it. No rows give no rows; further columns are ignored.
     """
-    by_doc = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    from . import resemblance
+
+    if similarity is None:
+        by_doc = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    else:
+        by_doc = staged(resemblance.profiles(docs, id_col, text_col, words, set_words), "profiles")
     first = staged(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     links = fingerprint_links(first.select("fp"), threshold)
-    components = staged(connected_components(links), "components")
+    if similarity is None:
+        components = staged(connected_components(links), "components")
+    else:
+        components = resemblance.joined_components(docs, by_doc, links, similarity, set_words, id_col, text_col)
     named = first.join(components, first["fp"] == components["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     answer = named.join(least, "component").select("fp", "component_id")
