@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylog.llm import packing, secrets, simhash, spaced_seeds, toxicity
-from quaylog.llm.staging import staged
+from quaylog.llm.staging import bounded_batches, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned lexicon doesn't call toxic."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn_lexicon(docs, labels.where(~toxicity.held_out()))
     toxic = toxicity.score_documents(docs, lexicon).where("predicted = 1").select("doc_id")
@@ -22,6 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without an id can't be told apart and stay.
     """
+    bounded_batches(spark)
     groups = staged(simhash.near_duplicates(docs, similarity=0.8), "groups")
     if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "text"])
@@ -31,18 +33,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
+    bounded_batches(spark)
     found = spaced_seeds.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets masked and their lengths counted anew."""
+    bounded_batches(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, mixed by source."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 

@@ -46,6 +46,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return Stage(df, name).df
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Has the session send Python tasks Arrow batches of ``most`` bytes where it would send
+    larger ones (Spark's default is 64 MB, which a task holds several times over)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, "64m").lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1], 0)
+    size = int(now.rstrip("kmg")) << unit
+    if not 0 < size <= most:
+        spark.conf.set(name, str(most))
+
+
 def release(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of plans that are done; it does so when their
     objects are collected, which a driver with free memory may put off for half an hour."""
