@@ -12,6 +12,7 @@ it the same seeds are joined by a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,11 +81,12 @@ def seeds(words, mask: str, number: int):
     return _mix(out)
 
 
-def _best_overlap(doc, item, shift: int) -> tuple[int, int, int]:
-    """(equal words, length, document place) of the best overlap at one alignment.
+def _best_overlap(doc, item, shift: int, min_share: float = MIN_SHARE) -> tuple[int, int, int]:
+    """(equal words, length, document place) of the longest overlap at one alignment.
 
-    Place p of the document lies under place p - shift of the item. The best overlap maximises
-    equal - 4 x unequal words, so it is where the share of equal words is at least 0.8.
+    Place p of the document lies under place p - shift of the item. The longest run of places with
+    a share of ``min_share`` or more of equal words, changed words at its ends included; of several
+    the one of most equal words, then the first.
     """
     import numpy as np
 
@@ -92,11 +94,20 @@ def _best_overlap(doc, item, shift: int) -> tuple[int, int, int]:
     if b <= a:
         return 0, 0, 0
     same = doc[a:b] == item[a - shift : b - shift]
-    gain = np.append(0, np.cumsum(np.where(same, 1, -4)))
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    begin = int(np.flatnonzero(gain[: end + 1] == low[end])[-1])
-    return int(same[begin:end].sum()), end - begin, a + begin
+    part, whole = _ratio(min_share)
+    gain = np.append(0, np.cumsum(np.where(same, whole - part, -part)))
+    # the first begin whose gain isn't above the end's: running minima fall, so it is found by bisection
+    begin = np.searchsorted(-np.minimum.accumulate(gain), -gain)
+    length = np.arange(len(gain)) - begin
+    equal = np.append(0, np.cumsum(same))
+    equal = np.where(length == length.max(), equal - equal[begin], -1)
+    end = int(np.argmax(equal))
+    return int(equal[end]), int(length[end]), a + int(begin[end])
+
+
+def _ratio(share: float) -> tuple[int, int]:
+    """A share as a fraction of whole numbers, so that sums of gains are exact."""
+    return Fraction(share).limit_denominator(1_000_000).as_integer_ratio()
 
 
 class Items:
@@ -142,9 +153,11 @@ def verified(doc, item, shifts: list[int], min_words: int, min_share: float) ->
 
     Items under ``min_words`` words must be found whole, to the same share.
     """
-    best = max((_best_overlap(doc, item, s) for s in shifts), key=lambda x: (x[0], -x[1]))
     need = min(min_words, len(item))
-    return best if best[1] >= need > 0 and best[0] >= min_share * best[1] and best[0] >= min(need, 5) else None
+    part, whole = _ratio(min_share)
+    found = (_best_overlap(doc, item, s, min_share) for s in shifts)
+    enough = [x for x in found if x[1] >= need > 0 and whole * x[0] >= part * x[1] and x[0] >= min(need, 5)]
+    return max(enough, key=lambda x: (x[0], -x[1], -x[2]), default=None)
 
 
 _RESULT = "doc_id {kind}, item_id {item}, matched_words long, overlap_words long, first_word long"

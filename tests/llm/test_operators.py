@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -298,6 +299,34 @@ def test_overlaps(spark):
     assert spaced_seeds.overlaps(corners(spark, []), items).count() == 0
 
 
+@pytest.mark.parametrize(("size", "share"), [(8, 0.8), (10, 0.8), (12, 0.8), (16, 0.8), (20, 0.9)])
+def test_changed_words_at_any_places(size, share):
+    item = spaced_seeds.word_hashes(" ".join(f"w{i}" for i in range(size)))
+    items = spaced_seeds.Items([(0, " ".join(f"w{i}" for i in range(size)))])
+    need, hits = min(12, size), 0
+    for n in range(size + 1):
+        for places in itertools.combinations(range(size), n) if n <= 3 else ():
+            doc = np.concatenate([spaced_seeds.word_hashes("before it"), item, spaced_seeds.word_hashes("after")])
+            doc[[p + 2 for p in places]] = 7
+            same = [p not in places for p in range(size)]
+            longest = max((j - i for i in range(size) for j in range(i + 1, size + 1) if sum(same[i:j]) >= round(share * 100) * (j - i) / 100), default=0)
+            shifts = sorted(s for _, s in items.alignments(doc))
+            if not shifts:
+                continue
+            hits += 1
+            found = spaced_seeds.verified(doc, item, shifts, 12, share)
+            assert (found is not None) == (longest >= need), places
+            if found:
+                assert found[1] == longest and found[0] == sum(same[found[2] - 2 : found[2] - 2 + longest])
+    assert hits > 8
+
+
+def test_an_overlap_of_most_equal_words_does_not_hide_a_longer_one():
+    item = spaced_seeds.word_hashes(" ".join(f"w{i}" for i in range(40)))
+    doc = np.concatenate([item[:11], item[20:25], [np.uint64(7)], item[26:31], [np.uint64(8)]])
+    assert spaced_seeds.verified(doc, item, [-9, 0], 12, 0.8)[1] >= 12
+
+
 # pages
 
 
