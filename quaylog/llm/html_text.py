@@ -22,7 +22,11 @@ SURGE = 90
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[a-zA-Z/!?](?:[^'\">]|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>", re.S)
 _NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
 _MARK = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = re.compile(r"<(script|style|noscript|template|iframe|svg|math|object|textarea|select|button|canvas|audio|video|head|title)\b(?:[^'\">]|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+
+#: Elements whose content is plain characters, up to their end tag or the end of the page.
+PLAIN = frozenset("script style textarea title".split())
+#: Elements left out up to their end tag; where it is missing, only the tag goes.
+ENCLOSED = frozenset("noscript template iframe svg math object select button canvas audio video".split())
 
 #: Elements, and words of class, id or role, whose text is never the article's. Fixed values.
 DROPPED = frozenset("nav aside form menu dialog footer fieldset datalist".split())
@@ -56,9 +60,59 @@ def _kind(tag: str, name: str, inside: bool) -> str:
     return ""
 
 
+def _tokens(page: str) -> list[tuple[int, int, str, str]]:
+    """(begin, end, tag, element's name or '') of the page's tags, comments and what is left out whole."""
+    out: list[tuple[int, int, str, str]] = []
+    at, sought = 0, {}
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = m[0]
+        named = _NAME.match(tag)
+        name = named[1].lower() if named else ""
+        if name in PLAIN and tag[1] != "/":
+            if name not in sought:
+                sought[name] = re.compile(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+            # '/>' is an empty element only where no end tag follows it before the next begin
+            after = sought[name].search(page, at)
+            empty = tag.endswith("/>") and not (after and after[1])
+            while after and not after[1] and not empty:
+                after = sought[name].search(page, after.end())
+            if not empty:
+                at = after.end() if after else len(page)
+            tag, name = "", ""
+        out.append((m.start(), at, tag, name))
+    return _without_enclosed(out)
+
+
+def _without_enclosed(tokens: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The tokens with each element of ENCLOSED, and a head up to its end tag, as one."""
+    begun: dict[str, list[int]] = {}
+    until: dict[int, int] = {}
+    for i, (_, _, tag, name) in enumerate(tokens):
+        if name == "body" or name in BLOCKS:
+            begun.pop("head", None)  # it ended before, where its end tag is left out
+        if name not in ENCLOSED and name != "head":
+            continue
+        if tag[1] != "/":
+            if not tag.endswith("/>"):
+                begun.setdefault(name, []).append(i)
+        elif begun.get(name):
+            until[begun[name].pop()] = i
+    if not until:
+        return tokens
+    out, i = [], 0
+    while i < len(tokens):
+        begin, end, tag, name = tokens[i]
+        if i in until:
+            i, tag, name = until[i], "", ""
+            end = tokens[i][1]
+        out.append((begin, end, tag, name))
+        i += 1
+    return out
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, length outside links, dropped, number of the declared article or 0) of each block."""
-    page = _RAW.sub(" ", page)
     out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, str, int]] = []
     parts: list[str] = []
@@ -80,20 +134,22 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             article = was
 
     at = links = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for begin, end, tag, name in _tokens(page):
+        if begin > at:
+            piece = page[at:begin]
             parts.append(piece)
             if links:
                 linked += len(" ".join(piece.split()))
-        at = m.end()
-        tag = m[0]
-        named = _NAME.match(tag)
-        if not named:
+        at = end
+        if not name:
             if tag.startswith("<![CDATA["):
                 parts.append(html.escape(tag[9:-3], quote=False))
+            elif not tag:
+                parts.append(" ")
+            continue
+        if name in ENCLOSED or name in PLAIN or name == "head":
+            parts.append(" ")
             continue
-        name = named[1].lower()
         if name == "br" or name == "wbr":
             parts.append(" " if name == "br" else "")
             continue
@@ -158,8 +214,9 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    Null and empty pages, and pages without main text, give empty text and 0. Unclosed elements
-    and comments end with the page. Repeated rows give a row each; further columns are ignored.
+    Null and empty pages, and pages without main text, give empty text and 0. Unclosed comments,
+    scripts, styles, text areas and titles end with the page; of other unclosed elements that are
+    left out only the tag goes. Repeated rows give a row each; further columns are ignored.
     """
 
     def run(batches: Iterator) -> Iterator:

@@ -341,6 +341,22 @@ def test_main_text():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<p><!-- x") == ""
 
 
+@pytest.mark.parametrize("name", "noscript template iframe svg math object select button canvas audio video".split())
+def test_left_out_elements_end(name):
+    def body(x):
+        return html_text.main_text(f"<html><head><title>T</title><body><article><p>One.</p>{x}<p>Two.</p></article>")
+
+    assert body(f"<{name}>gone<b>too</b></{name}>") == body(f"<{name} a='>'>x<{name}>y</{name}>z</{name.upper()} >") == "One.\nTwo."
+    assert body(f"<{name}/>") == body(f"<{name} a='b' />") == body(f"<{name}>") == body(f"<{name}-icon></{name}-icon>") == "One.\nTwo."
+    assert body(f"<!-- <{name}> -->") == body(f"<img alt='<{name}>'>") == body(f"<{name}><p>In.</p><{name}>gone</{name}>").replace("In.\n", "") == "One.\nTwo."
+
+
+def test_heads_and_plain_elements_end():
+    assert html_text.main_text("<head><title>T</title><meta a=b><article>One.<title-bar></title-bar><header-x></header-x><p>Two.</article>") == "One.\nTwo."
+    assert html_text.main_text("<head>no<title>T</title></head><body><article>One.<script/>two<script>if (a<b) '<svg>'</script> <style>p</style>three</article>") == "One. two three"
+    assert html_text.main_text("<article><p>One.<script>var a = '<p>two'; </script-x> <p>three") == "One."
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<article><p>é", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("", 0), ("é", 1)]
