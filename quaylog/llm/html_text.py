@@ -21,20 +21,23 @@ SURGE = 90
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[a-zA-Z/!?](?:[^'\">]|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>", re.S)
 _NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
-_MARK = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![\w-])(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: Elements whose content is plain characters, up to their end tag or the end of the page.
 PLAIN = frozenset("script style textarea title".split())
 #: Elements left out up to their end tag; where it is missing, only the tag goes.
 ENCLOSED = frozenset("noscript template iframe svg math object select button canvas audio video".split())
 
-#: Elements, and words of class, id or role, whose text is never the article's. Fixed values.
+#: Elements, and whole classes, ids and roles, whose text is never the article's. Fixed values.
 DROPPED = frozenset("nav aside form menu dialog footer fieldset datalist".split())
 BOILERPLATE = frozenset(
     "ad ads adv advert advertisement adsense banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer foot masthead "
     "comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert popup modal overlay subscribe newsletter signup login "
     "share sharing social related recommended widget pager pagination toolbar search searchbox contentinfo complementary dialog form".split()
 )
+TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Words that may stand beside those above in a hyphenated class or id.
+FRAME = frozenset("area bar block body box container div form global group inner item items li list outer primary reader row secondary section site thread user wrap wrapper".split())
 HEADERS = frozenset("header topbar banner masthead".split())
 CONTENT = frozenset("content article main post entry story text articlebody".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,22 +47,90 @@ BLOCKS = frozenset(
 )
 
 
+def _marks(tag: str, name: str, inside: bool) -> list[list[str]]:
+    """The words of each class, id, role, property and label of a tag.
+
+    Inside a declared article the ids of headings, paragraphs and sections are anchors and don't
+    count, but for a section of reader comments.
+    """
+    out = []
+    for attribute, *values in _MARK.findall(tag) if "=" in tag else ():
+        attribute, value = attribute.lower(), "".join(values).lower()
+        for token in [value] if attribute == "aria-label" else value.split():
+            words = re.findall("[a-z0-9]+", token)
+            if attribute == "id" and inside and (name in ANCHORS or (name == "section" and not TALK.intersection(words) & {"comments", "commentlist", "disqus"})):
+                continue
+            out.append(words)
+    return out
+
+
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+
+
+def _named(marks: list[list[str]], of: frozenset, beside: frozenset = FRAME) -> bool:
+    """Whether a mark is one of some words as a whole, or a compound of them and neutral ones."""
+    return any(not of.isdisjoint(words) and all(w in of or w in beside or w.isdigit() for w in words) for words in marks)
+
+
 def _kind(tag: str, name: str, inside: bool) -> str:
-    """'drop' for boilerplate, 'article' for a declared article, '' otherwise."""
-    words = {w for m in _MARK.findall(tag) for w in re.split(r"[^a-z0-9]+", "".join(m).lower()) if w} if "=" in tag else set()
-    talk = words & {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+    """'drop' for boilerplate, 'talk' for reader comments, 'article' for a declared article, 'teaser' for one marked as boilerplate, '' otherwise."""
+    marks = _marks(tag, name, inside)
+    words = {w for m in marks for w in m}
     if name in ("html", "body"):
         return ""
-    if name in DROPPED or talk or (name == "header" and not inside) or "hidden" in words:
+    if words and _named(marks, TALK, FRAME | BOILERPLATE | CONTENT):
+        return "talk"
+    if name in DROPPED or (name == "header" and not inside) or ["hidden"] in marks:
         return "drop"
     content = words & CONTENT
-    if words & BOILERPLATE and not content and name not in ("article", "main") or (words & HEADERS and not inside and not content):
+    boilerplate = bool(words) and _named(marks, BOILERPLATE) and not content
+    if name in ("article", "main"):
+        return "teaser" if boilerplate else "article"
+    if boilerplate or (words and _named(marks, HEADERS) and not inside and not content):
         return "drop"
-    if name == "article" or name == "main" or "articlebody" in words or {"main", "content"} <= words or ("article" in words and name in ("div", "section")):
+    if "articlebody" in words or {"main", "content"} <= words or ("article" in words and name in ("div", "section")):
         return "article"
     return ""
 
 
+class _Tree:
+    """The elements of a page: parent, kind, and number of the declared article they are in, or 0."""
+
+    def __init__(self) -> None:
+        self.parent, self.kind, self.article, self.roots = [0], [""], [0], [0]
+        self.talk = [False]
+
+    def add(self, parent: int, kind: str) -> int:
+        article, talk = self.article[parent], self.talk[parent] or kind == "talk"
+        if kind in ("article", "teaser") and not article and not talk:
+            article = len(self.roots)
+            self.roots.append(len(self.parent))
+        self.parent.append(parent)
+        self.kind.append(kind)
+        self.article.append(article)
+        self.talk.append(talk)
+        return len(self.parent) - 1
+
+    def dropped(self, lines: list[tuple[str, int, int]]) -> list[bool]:
+        """Whether each element's text is left out; never that around the longest declared article, nor the article."""
+        roots, n = set(self.roots[1:]), len(self.parent)
+        inner, sizes = [False] * n, [0] * len(self.roots)
+        for i in range(1, n):
+            inner[i] = i not in roots and (inner[self.parent[i]] or self.kind[i] in ("drop", "talk"))
+        for text, _, i in lines:
+            sizes[self.article[i]] += len(text) if self.article[i] and not inner[i] else 0
+        kept = set()
+        if max(sizes):
+            i = self.roots[sizes.index(max(sizes))]
+            while i:
+                kept.add(i)
+                i = self.parent[i]
+        out = [False] * n
+        for i in range(1, n):
+            out[i] = i not in kept and (out[self.parent[i]] or self.kind[i] in ("drop", "talk") or (self.kind[i] == "teaser" and i in roots))
+        return out
+
+
 def _tokens(page: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, tag, element's name or '') of the page's tags, comments and what is left out whole."""
     out: list[tuple[int, int, str, str]] = []
@@ -113,26 +184,20 @@ def _without_enclosed(tokens: list[tuple[int, int, str, str]]) -> list[tuple[int
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, length outside links, dropped, number of the declared article or 0) of each block."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, str, int]] = []
+    lines: list[tuple[str, int, int]] = []
+    tree = _Tree()
+    stack: list[tuple[str, int]] = []
     parts: list[str] = []
-    linked = dropped = article = articles = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), dropped > 0, article))
+            lines.append((text, max(0, len(text) - linked), stack[-1][1] if stack else 0))
         parts.clear()
         linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal dropped, article
-        while len(stack) > to:
-            _, kind, was = stack.pop()
-            dropped -= kind == "drop"
-            article = was
-
     at = links = 0
     for begin, end, tag, name in _tokens(page):
         if begin > at:
@@ -159,8 +224,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             if name == "a":
                 links = 0
             top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if top is not None and (name in BLOCKS and name != "p" or not any(n in BLOCKS for n, _, _ in stack[top + 1 :])):
-                pop(top)
+            if top is not None and (name in BLOCKS and name != "p" or not any(n in BLOCKS for n, _ in stack[top + 1 :])):
+                del stack[top:]
             continue
         if name in VOID or tag.endswith("/>"):
             continue
@@ -171,31 +236,27 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             # a block closes an open paragraph and what that holds; an item closes its neighbour
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p" or (stack[i][0] == name and name in ("li", "dd", "dt", "td", "th", "tr", "option")):
-                    pop(i)
+                    del stack[i:]
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        kind = _kind(tag, name, article > 0)
-        stack.append((name, kind, article))
-        dropped += kind == "drop"
-        if kind == "article" and not dropped and not article:
-            articles += 1
-            article = articles
+        within = stack[-1][1] if stack else 0
+        stack.append((name, tree.add(within, _kind(tag, name, tree.article[within] > 0))))
     parts.append(page[at:])
     flush()
-    return out
+    dropped = tree.dropped(lines)
+    return [(text, own, dropped[i], tree.article[i]) for text, own, i in lines]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The text between surge and dive points; empty if there is none."""
+    """The text between surge and dive points; empty if there is none.
+
+    Of a page with declared articles, the text of all that aren't comments, nor in boilerplate
+    beside the longest one.
+    """
     lines = lines_of(page or "")
-    sizes: dict[int, int] = {}
-    for text, _, dropped, article in lines:
-        if article and not dropped:
-            sizes[article] = sizes.get(article, 0) + len(text)
-    if sizes:
-        chosen = max(sizes, key=lambda a: (sizes[a], -a))
-        lengths = [len(text) if article == chosen and not dropped else 0 for text, _, dropped, article in lines]
+    if any(article and not dropped for _, _, dropped, article in lines):
+        lengths = [len(text) if article and not dropped else 0 for text, _, dropped, article in lines]
         surge = 1
     else:
         lengths = [0 if dropped or 2 * own < len(text) else own for text, own, dropped, _ in lines]

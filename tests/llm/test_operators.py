@@ -357,6 +357,23 @@ def test_heads_and_plain_elements_end():
     assert html_text.main_text("<article><p>One.<script>var a = '<p>two'; </script-x> <p>three") == "One."
 
 
+def test_marks_drop_no_article_text():
+    article = "<article><h2 id='related-work'>Related work</h2><section id='social-history'><p id='search-results'>One.</p></section><section id=related><p>Two.</p></section><h3 id='comments'>Three</h3></article>"
+    want = "Related work\nOne.\nTwo.\nThree"
+    for mark in ("site no-sidebar", "has-footer", "sidebar", "overlay", "overflow-hidden", "social-history"):
+        assert html_text.main_text(f"<body><div class='{mark}'>{article}</div></body>") == want
+    assert html_text.main_text(f"<body><form id=f>{article}</form></body>") == want
+    long = "A paragraph of a page without a declared article, with enough words to count as text of its own, and then some."
+    assert html_text.main_text(f"<div class='page has-sidebar no-ads'><p data-id='search' aria-label='On search'>{long}</p></div>") == long
+    assert html_text.main_text(f"<div class='cookie-notice'><p>{long}</p></div><div id='comment-12'><p>{long}</p></div><div class='sidebar__inner'><p>{long}</p></div>") == ""
+
+
+def test_all_articles_but_comments_are_kept():
+    page = "<main><p>One.</p></main><article><p>Two is the longest.</p><div class='ad'>Buy</div><section id='comments'>No</section></article><article>Three.</article>"
+    other = "<article class='comment'>Four</article><div class='comment-list'><article>Five</article></div><aside><article>Six</article></aside><article class='promo'>Seven</article>"
+    assert html_text.main_text(page + other) == "One.\nTwo is the longest.\nThree."
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<article><p>é", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("", 0), ("é", 1)]
