@@ -2,7 +2,7 @@
 
 A BPE vocabulary holds the frequent strings of natural text and code, so ordinary runs take
 three or more characters to a token and random ones about two or less. Runs that are known
-digests or identifiers by their form are left out before the test.
+digests or identifiers by their form, words, or for the most part repeats are left out before the test.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ DIGEST = re.compile(r"(?ai:[0-9a-f]+)")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 LABELLED = re.compile(r"(?ai:(?:md5|sha-?\d{1,3}|sha\d-\d{3}|blake\w*|integrity|checksum|digest|etag|commit|fingerprint|uuid|guid))[\"'\s]*[:=-]\s*[\"']?$")
 REPEATED = re.compile(r"(.{1,8}?)\1{2,}")
+#: Words in one case or with a capital, alone or joined by hyphens or underscores.
+WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_]+(?:[A-Z]?[a-z]+|[A-Z]+))*")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -45,14 +47,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known_form(run: str, before: str) -> bool:
-    """Whether a run is an identifier or a digest by its form or by the label before it."""
+    """Whether a run is words, repeats for the most part, or an identifier or digest by its form or the label before it."""
     return bool(
         UUID.fullmatch(run)
         or run.isdigit()
-        or run.replace("-", "").replace("_", "").isalpha()
+        or WORDS.fullmatch(run)
         or (DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS)
         or LABELLED.search(before)
-        or REPEATED.search(run)
+        or 2 * sum(m.end() - m.start() for m in REPEATED.finditer(run)) > len(run)
         or run.startswith(("http", "www"))
     )
 

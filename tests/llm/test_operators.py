@@ -278,6 +278,18 @@ def test_known_forms():
     assert secrets.known_form("d41d8cd98f00b204e9800998ecf8427e", "") and secrets.known_form("Zm9vYmFyYmF6cXV4MTIzNDU2", "sha-256: ")
 
 
+def test_chance_repeats_and_letters_hide_no_secret():
+    encode = tokens.load_tiktoken(tokens.tokenizer_file("byte_bpe_50k.tiktoken")).encode_ordinary
+    rng = random.Random(4)
+    for signs, size in (("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 1000), ("ABCDEF0123456789", 48), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 32)):
+        for _ in range(100):
+            key = "".join(rng.choice(signs[:-2] if i in (0, size - 1) else signs) for i in range(size))
+            key = f"{key[:7]}aaa{key[10:]}" if "a" in signs else f"{key[:7]}000{key[10:]}"
+            assert secrets.random_spans(f"key {key} end", encode, []) == [("random", 4, 4 + size)]
+    for run in ("getUserNameFromDatabase", "Some-words_in_UPPER_and-lower", "Aa1Aa1Aa1Aa1Aa1Aa1Aa1Aa1", "XMLHttpRequestEventTarget", "=" * 40, "0000000000000000000000x1"):
+        assert secrets.random_spans(f"id {run} end", encode, []) == []
+
+
 # decontamination
 
 
