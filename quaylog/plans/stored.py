@@ -69,7 +69,9 @@ def _(s, d):
 
 @_query("stream_pair_executions", _with(f"SELECT {_CAP_COLUMNS} FROM paired WHERE duration <> 0", plans._PAIRING.format(src="cap")))
 def _(s, d):
-    return _local(_appended(jobs.pair_stream(_stream(s, d), delay="60 days"))).select(*plans.adapter.CAPTURE)
+    path = scratch(s, "executions")
+    jobs.stream_executions(_stream(s, d), path, f"{path}-checkpoint", delay="60 days", **NOW).awaitTermination()
+    return _local(jobs.read_executions(s, path)).select(*plans.adapter.CAPTURE)
 
 
 _MEASURES = ", ".join(f"trunc(avg({m}))::BIGINT AS avg_{m}, min({m}) AS min_{m}, max({m}) AS max_{m}, coalesce(sum({m}), 0)::BIGINT AS sum_{m}" for m in plans._METRICS)

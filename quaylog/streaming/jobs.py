@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quaylog.functions import sql_text
-from quaylog.operators import analysis, metrics
+from quaylog.operators import analysis, executions, metrics
 from quaylog.operators.executions import METRICS
 from quaylog.operators.filters import COMPLETIONS, STARTS
 
@@ -69,7 +69,9 @@ def pair_stream(events: DataFrame, timeout: str = "30 minutes", delay: str = "10
     """Completed executions as they complete: a stack of open starts is kept for each session.
 
     A session's open starts are given out without metrics when it has been silent for
-    ``timeout`` of event time. Within a batch events are taken in sequence.
+    ``timeout`` of event time. Within a batch events are taken in sequence. A session's events of
+    one batch are held by one task: bound the batches (``maxFilesPerTrigger``), or take
+    ``stream_executions``, which has no such limit.
     """
     out = T.StructType([f for f in events.schema if f.name in _KEPT])
     columns = [f.name for f in out]
@@ -131,6 +133,49 @@ def _versioned(path: str) -> tuple[Callable[[SparkSession], DataFrame | None], C
     return read, write
 
 
+def stream_executions(events: DataFrame, path: str, checkpoint: str, timeout: str = "30 minutes", delay: str = "10 minutes", **trigger: Any):
+    """Pairs each batch whole, with the starts that the batches before left open; ``read_executions`` reads the result.
+
+    A batch is ordered and paired by Spark, so a session needs no task's memory. A session's open
+    starts are given out, with what metrics they have, when it has been silent for ``timeout`` beyond
+    ``delay`` of event time; no event is left out for being late. A batch that is run again starts
+    from the same versions.
+    """
+    read, write = _versioned(f"{path}/paired")
+    read_clock, write_clock = _versioned(f"{path}/clock")
+    columns = [f.name for f in events.schema if f.name in _KEPT]
+    silent, late = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (timeout, delay))
+    held = F.struct("sql_text", *METRICS)
+    micros = F.unix_micros(F.col("start_time").cast("timestamp"))
+
+    def pair(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old, before = read(spark, number), read_clock(spark, number)
+        was = before.first()[0] if before is not None else None
+        now = max((x for x in (was, batch.agg(F.max(micros)).first()[0]) if x is not None), default=None)
+        seen = batch.groupBy(F.col("session_id").alias("_session")).agg(F.greatest(F.max(micros), F.lit(was - late if was is not None else None).cast("long")).alias("_now"))
+        new = batch.select(*columns).withColumn("_held", F.lit(None).cast(batch.select(held.alias("h")).schema["h"].dataType)).withColumn("_seen", F.lit(None).cast("long"))
+        if old is not None:
+            # an open start comes back as it was, what completions have said of it so far beside it
+            opened = old.where("NOT _done").withColumns({"sql_text": F.col("_text"), **{m: F.lit(None).cast(batch.schema[m].dataType) for m in METRICS}})
+            new = new.unionByName(opened.select(new.columns))
+        paired = executions.pair_executions(new.withColumn("_text", F.col("sql_text")))
+        paired = paired.withColumn("_held", F.when(F.coalesce(*METRICS).isNotNull(), held).otherwise(F.col("_held")))
+        paired = paired.withColumns({c: F.coalesce(F.col(f"_held.{c}"), F.col(c)) for c in ("sql_text", *METRICS)})
+        paired = paired.join(seen, F.col("session_id").eqNullSafe(F.col("_session")), "left").withColumn("_seen", F.greatest("_seen", "_now")).drop("_now", "_session")
+        over = F.col("_seen") + silent < F.lit(now - late if now is not None else None).cast("long")
+        write(paired.withColumn("_done", (F.coalesce("duration", F.lit(0)) != 0) | F.coalesce(over, F.lit(False))), number)
+        write_clock(spark.range(1).select(F.lit(now).cast("long").alias("micros")), number)
+
+    return _triggered(events.writeStream, trigger).option("checkpointLocation", checkpoint).foreachBatch(pair).start()
+
+
+def read_executions(spark: SparkSession, path: str) -> DataFrame:
+    """What ``stream_executions`` has given out."""
+    done = spark.read.parquet(f"{path}/paired").where("_done")
+    return done.select([c for c in done.columns if c in _KEPT])
+
+
 def stream_summary(events: DataFrame, path: str, checkpoint: str, **trigger: Any):
     """A running summary: every batch's is merged into the version before it. A batch that is
     run again starts from the same version, so nothing is counted twice."""

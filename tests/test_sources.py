@@ -1,6 +1,6 @@
 import datetime
 
-from quaylog.operators import analysis
+from quaylog.operators import analysis, executions
 from quaylog.sources import parsers, stores
 from quaylog.streaming import jobs
 from tests.test_operators import SCHEMA, event
@@ -67,6 +67,32 @@ def test_stream_pairing(spark, tmp_path):
     assert sorted((r["event_sequence"], r["sql_text"], r["duration"]) for r in spark.table("paired").collect()) == [(1, "a", 6), (2, "b", 5)]
 
 
+def test_stream_executions_over_batches(spark, tmp_path):
+    schema, path = SCHEMA.replace("timestamp_ntz", "timestamp"), f"file://{tmp_path}"
+    batches = [
+        [event(1, 2, text="a"), event(2, 2, text="b"), event(3, 1, duration=0, text="b")],
+        [event(4, 1, duration=5, text=None), event(5, 2, text="c")],
+        [event(6, 1, duration=0, text="c2"), event(7, 1, duration=4, text="c3"), event(8, 1, duration=6, text="a"), event(9, 1, duration=7), event(10, 2, text="d"), event(11, 1, duration=0, text="d2")],
+        *([event(i, 2, session=77, text="e")] for i in (1500, 2700)),
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, SCHEMA).withColumn("start_time", _ts()).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        jobs.stream_executions(jobs.stream_capture(spark, f"{path}/in", schema), f"{path}/out", f"{path}/cp", availableNow=True).awaitTermination()
+    got = sorted((r["event_sequence"], r["sql_text"], r["duration"]) for r in jobs.read_executions(spark, f"{path}/out").collect())
+    whole = executions.pair_executions(spark.createDataFrame(sum(batches, []), SCHEMA)).where("session_id <> 77").collect()
+    assert got == sorted((r["event_sequence"], r["sql_text"], r["duration"]) for r in whole)
+    assert got == [(1, "a", 6), (2, "b", 5), (5, "c3", 4), (10, "d2", 0)]
+
+
+def test_stream_pairing_query_holds_no_session_in_a_task(spark, monkeypatch):
+    from quaylog.plans import queries, stored  # noqa: F401
+
+    monkeypatch.setattr(jobs, "pair_stream", None)
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["stream_pair_executions"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_stream_details_equal_batch(spark, tmp_path):
     rows = [event(i, -3, duration=i, text=f"select {i}") for i in range(1, 300)] + [event(100_000, -3, duration=1)]
     stream = jobs.details_by_window(jobs.dedup_resume(_stream(spark, tmp_path, rows + rows[:3]), "1 minute"), 1, None)
