@@ -248,7 +248,10 @@ def _by_join(d: DataFrame, t: DataFrame, result: str, min_words: int, min_share:
         return df.select(name, "text").mapInArrow(all_seeds, f"id {kind}, seed long").withColumnRenamed("id", name)
 
     pairs = keyed(d, "doc_id").join(keyed(t, "item_id"), "seed").select("doc_id", "item_id").distinct()
-    both = pairs.join(d, "doc_id").join(t.withColumnRenamed("text", "item_text"), "item_id").select("doc_id", "item_id", "text", "item_text")
+    # null ids are ids too; equal ones are told apart by verifying each of their texts
+    pairs = pairs.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"))
+    both = pairs.join(d, F.col("_doc").eqNullSafe(F.col("doc_id"))).join(t.withColumnRenamed("text", "item_text"), F.col("_item").eqNullSafe(F.col("item_id")))
+    both = both.select("doc_id", "item_id", "text", "item_text")
     return both.mapInArrow(verify, result)
 
 

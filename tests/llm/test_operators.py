@@ -339,6 +339,13 @@ def test_an_overlap_of_most_equal_words_does_not_hide_a_longer_one():
     assert spaced_seeds.verified(doc, item, [-9, 0], 12, 0.8)[1] >= 12
 
 
+def test_overlaps_of_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df, items = corners(spark, [(None, text, "s"), (1, "x " + text, "s"), (2, "other", "s")]), spark.createDataFrame([(None, text), (5, text)], "item_id long, text string")
+    got = [sorted(map(str, spaced_seeds.overlaps(df, items, broadcast_seeds=n).collect())) for n in (0, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 4
+
+
 # pages
 
 
