@@ -7,7 +7,9 @@ in a cell: at similarity s a pair of long texts misses all cells with probabilit
 by SimHash (128 bits) and the exact similarity of every proposed pair decides. This goes in
 rounds, each with the next ranks of that order: a text proposes only texts that no link so
 far has joined to it, and a cell that is joined drops out. So groups of copies never give all
-their pairs, and yet no cell is left with a pair of two groups unseen.
+their pairs, and yet no cell is left with a pair of two groups unseen, but for those that
+differ in more than FARTHEST bits. There is no exact way for pairs that share no cell or differ in
+more bits: links are found with the probability above only, so a group may rarely stay in two.
 """
 
 from __future__ import annotations
