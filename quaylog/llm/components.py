@@ -17,6 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are harmless; no edges give no rows.
     """
     stage = Stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if stage.df.isEmpty():
+        return stage.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     nodes = Stage(stage.df.select("u").unionByName(stage.df.select(F.col("v").alias("u"))).distinct(), "nodes")
     mark = None
     while True:

@@ -3,13 +3,15 @@
 A 64-bit fingerprint can't tell a pair of similarity 0.8 from a looser one: such pairs differ
 in 5 to 14 bits. Here texts of the same three least shingles under one of 16 hash orders meet
 in a cell: at similarity s a pair of long texts misses all cells with probability
-(1 - s^3)^16, 1e-5 at 0.8 (3e-4 for sets of five). In a cell each text proposes its nearest
-by SimHash (128 bits) and the exact similarity of every proposed pair decides. This goes in
-rounds, each with the next ranks of that order: a text proposes only texts that no link so
-far has joined to it, and a cell that is joined drops out. So groups of copies never give all
-their pairs, and yet no cell is left with a pair of two groups unseen, but for those that
-differ in more than FARTHEST bits. There is no exact way for pairs that share no cell or differ in
-more bits: links are found with the probability above only, so a group may rarely stay in two.
+(1 - s^3)^16, 1e-5 at 0.8 (3e-4 for sets of five). There is no exact way for pairs that share
+no cell: links are found with that probability only, so a group may rarely stay in two.
+
+Within a cell the whole sets are compared and nothing but a spanning forest leaves the task,
+so a group of copies never gives all its pairs. Cells of the same members are compared once,
+and cells whose members are joined already not at all. A cell beyond a bound is split: first
+every block compares its members with each other and with the cell's first set, which joins
+nearly all of a group of copies in linear work; then the members outside the cell's largest
+group are compared with each other and with that group, block by block.
 """
 
 from __future__ import annotations
@@ -21,16 +23,16 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash import fingerprint_of
-from .staging import staged
+from .staging import Stage
 
 BANDS = 16
 LEAST = 3
-#: Ranks of nearness that the rounds propose; the last goes on to the end.
-RANKS = ((0, 3), (3, 16), (16, 128), (128, 1024), (1024, None))
-#: Differing bits of 128 beyond which no pair is proposed: pairs of similarity 0.8 differ in 20 on average, with a deviation of 4.
-FARTHEST = 48
-#: Texts of one group of a cell; a block holds two groups at most.
-BLOCK = 2048
+#: Bands of the first round; what it joins needs no comparison in the second.
+FIRST_BANDS = 6
+#: Sets, and hashes of sets, that one block should hold; a task compares two blocks at most.
+BLOCK, BLOCK_HASHES = 512, 1 << 20
+#: Columns of the incidence matrix that are multiplied at a time.
+STRIP = 4096
 
 
 def shingle_set(text: str | None, words: int = 5):
@@ -75,21 +77,8 @@ def _cells_of(hashes) -> list[int]:
     return np.array(out, np.uint64).view(np.int64).tolist()
 
 
-def _simhash(hashes) -> tuple[int, int]:
-    """A SimHash of 128 bits of the set."""
-    import numpy as np
-
-    out = []
-    for half in (hashes, _mixed(hashes, 99)):
-        ones, step = np.zeros(64, np.int64), 1 << 14
-        for at in range(0, len(half), step):
-            ones += np.unpackbits(half[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(half)).view(">u8").astype(np.uint64).view(np.int64)[0]))
-    return out[0], out[1]
-
-
-def profiles(docs: DataFrame, id_col: str, text_col: str, fingerprint_words: int, words: int) -> DataFrame:
-    """doc_id, fp (as ``fingerprints`` has it), and of the shingle set: k0, k1, n, s0, s1, cells.
+def profiles(docs: DataFrame, fingerprint_words: int, words: int) -> DataFrame:
+    """Of docs(doc_id, digest, text): doc_id, digest, fp (as ``fingerprints`` has it), and of the shingle set k0, k1, n, cells.
 
     Texts without words have no set: null in all columns of it.
     """
@@ -97,89 +86,102 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, fingerprint_words: int
     def compute(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
         for batch in batches:
             rows = []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 text = t.as_py()
                 fp, found = fingerprint_of(text, fingerprint_words), shingle_set(text, words)
                 fp = fp - (1 << 64) if fp >> 63 else fp
-                rows.append((fp, *_set_key(found), len(found), *_simhash(found), _cells_of(found)) if len(found) else (fp, *[None] * 6))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "fp", "k0", "k1", "n", "s0", "s1", "cells"])
+                rows.append((fp, *_set_key(found), len(found), _cells_of(found)) if len(found) else (fp, *[None] * 4))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "digest", "fp", "k0", "k1", "n", "cells"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "digest", "text").mapInArrow(compute, f"doc_id {kind}, digest binary, fp long, k0 long, k1 long, n long, cells array<long>")
+
+
+def alike(sets: list, similarity: float):
+    """Which of the sets resemble each other, as a boolean matrix.
+
+    Counts of common hashes are products of an incidence matrix with itself, in strips of
+    columns; hashes of one set only have no part in them.
+    """
+    import numpy as np
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        compute, f"doc_id {kind}, fp long, k0 long, k1 long, n long, s0 long, s1 long, cells array<long>"
-    )
+    size = np.array([len(s) for s in sets], np.float64)
+    if len(sets) == 2:
+        common = np.array([[size[0], len(np.intersect1d(*sets, assume_unique=True))]] * 2)
+        common[1] = common[1, 1], size[1]
+    else:
+        owner = np.repeat(np.arange(len(sets)), size.astype(np.int64))
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        new = np.append(True, hashes[1:] != hashes[:-1])
+        column = np.cumsum(new) - 1
+        shared = (np.bincount(column) > 1)[column]
+        column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+        kind = np.float32 if size.max(initial=0) < 1 << 24 else np.float64
+        common = np.zeros((len(sets), len(sets)))
+        cuts = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + STRIP, STRIP))
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            strip = np.zeros((len(sets), STRIP), kind)
+            strip[owner[a:b], column[a:b] - i * STRIP] = 1
+            common += strip @ strip.T
+        np.fill_diagonal(common, size)
+    return common >= similarity * (size[:, None] + size - common) - 1e-9
+
+
+def forest(linked, groups) -> list[tuple[int, int]]:
+    """Edges between ``groups`` (a label for each row) that join what the links of the matrix join."""
+    import numpy as np
 
+    _, label = np.unique(groups, return_inverse=True)
+    edges: list[tuple[int, int]] = []
+    for x in range(len(linked)):
+        others = np.unique(label[linked[x]])
+        others = others[others != label[x]]
+        if len(others):
+            edges += [(x, int(np.argmax(label == o))) for o in others]
+            label[np.isin(label, others)] = label[x]
+    return edges
 
-def _proposals(similarity: float, begin: int, end: int | None):
-    """Of rows sorted by cell and block: pairs of texts of two components, one of them at rank begin to end of the other's nearest."""
 
-    def runs(batches: Iterator) -> Iterator:
+def _compared(similarity: float):
+    """Of rows sorted by band, cell and block: edges (a, b) between roots whose sets resemble each other."""
+
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def pairs(whole: dict) -> Iterator:
-            m = len(whole["n"])
-            new = np.ones(m, bool)
-            new[1:] = np.any([whole[c][1:] != whole[c][:-1] for c in ("band", "cell", "block")], axis=0)
-            start = np.nonzero(new)[0]
-            size = np.diff(np.append(start, m))
-            found, waiting = [], 0
-            for k in np.nonzero(size > begin + 1)[0].tolist():
-                at, stop = int(start[k]), int(start[k] + size[k])
-                part = {c: v[at:stop] for c, v in whole.items()}
-                if (part["component"] == part["component"][0]).all():
-                    continue
-                n, s0, s1 = part["n"], part["s0"].view(np.uint64), part["s1"].view(np.uint64)
-                for lo in range(0, stop - at, 256):
-                    hi = min(lo + 256, stop - at)
-                    far = np.bitwise_count(s0[lo:hi, None] ^ s0).astype(np.int16) + np.bitwise_count(s1[lo:hi, None] ^ s1)
-                    far[np.minimum(n[lo:hi, None], n) < similarity * np.maximum(n[lo:hi, None], n) - 1e-9] = 999
-                    far[np.arange(hi - lo), np.arange(lo, hi)] = 999
-                    near = np.argsort(far, axis=1, kind="stable")[:, begin:end]
-                    row = np.repeat(np.arange(hi - lo), near.shape[1])
-                    near = near.reshape(-1)
-                    ok = (far[row, near] <= FARTHEST) & (part["component"][lo + row] != part["component"][near])
-                    found.append(np.stack([at + lo + row[ok], at + near[ok]]))
-                    waiting += int(ok.sum())
-                    if waiting > 200_000:
-                        yield named(whole, found)
-                        found, waiting = [], 0
-            if found:
-                yield named(whole, found)
-
-        def named(whole: dict, found: list) -> pa.RecordBatch:
-            a, b = np.concatenate(found, axis=1)
-            k0, k1 = whole["k0"], whole["k1"]
-            swap = (k0[a] > k0[b]) | ((k0[a] == k0[b]) & (k1[a] > k1[b]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            distinct = np.unique(np.stack([k0[a], k1[a], k0[b], k1[b]]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in distinct], ["a0", "a1", "b0", "b1"])
-
-        held: list[dict] = []
+        def edges(rows: list[tuple]) -> list[tuple[int, int]]:
+            if len(rows) < 2 or len({g for _, g, _ in rows}) == 1:
+                return []
+            sets = [np.frombuffer(h, np.uint64) for _, _, h in rows]
+            return [(rows[x][0], rows[y][0]) for x, y in forest(alike(sets, similarity), np.array([g for _, g, _ in rows]))]
+
+        def batch_of(found: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        now, held, found = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-            held.append(now)
-            last = tuple(now[c][-1] for c in ("band", "cell", "block"))
-            if last == tuple(held[0][c][0] for c in ("band", "cell", "block")) or sum(len(h["n"]) for h in held) < 50_000:
-                continue
-            whole = {c: np.concatenate([h[c] for h in held]) for c in now}
-            rest = (whole["band"] == last[0]) & (whole["cell"] == last[1]) & (whole["block"] == last[2])
-            yield from pairs({c: v[~rest] for c, v in whole.items()})
-            held = [{c: v[rest] for c, v in whole.items()}]
-        if held:
-            yield from pairs({c: np.concatenate([h[c] for h in held]) for c in held[0]})
+            keys = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for key, root, group, hashes in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+                if key != now:
+                    found += edges(held)
+                    now, held = key, []
+                held.append((root, group, hashes.as_py()))
+            if len(found) > 10_000:
+                yield batch_of(found)
+                found = []
+        yield batch_of(found + edges(held))
 
-    return runs
+    return run
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """k0, k1, hashes of every text with words."""
+    """k0, k1, hashes (8 bytes each, sorted) of every text with words."""
 
     def compute(batches: Iterator) -> Iterator:
         import numpy as np
@@ -187,9 +189,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
         def batch_of(sets: list) -> pa.RecordBatch:
             keys = np.array([_set_key(x) for x in sets], np.int64).reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            hashes = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), hashes], ["k0", "k1", "hashes"])
+            return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in sets], pa.binary())], ["k0", "k1", "hashes"])
 
         held, size = [], 0
         for batch in batches:
@@ -204,64 +204,106 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield batch_of(held)
 
-    return docs.select("text").mapInArrow(compute, "k0 long, k1 long, hashes array<long>")
+    return docs.select("text").mapInArrow(compute, "k0 long, k1 long, hashes binary")
 
 
-def _alike(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs whose sets have the similarity, as edges between fingerprints."""
-    ends = pairs.selectExpr("a0 AS k0", "a1 AS k1").unionByName(pairs.selectExpr("b0 AS k0", "b1 AS k1")).distinct()
-    wanted = staged(kinds.join(ends, ["k0", "k1"], "left_semi").select("k0", "k1", "first_id", "least_fp"), "ends")
-    texts = docs.join(wanted, docs["doc_id"] == wanted["first_id"], "left_semi")
-    sets = staged(_sets(texts, words).join(wanted.select("k0", "k1", "least_fp"), ["k0", "k1"]).dropDuplicates(["k0", "k1"]), "sets")
+def _groups(rows: str, hashes: str, block: int):
+    """Blocks that so many sets with so many hashes in all are dealt to."""
+    return F.ceil(F.greatest(F.col(rows) / F.lit(block), F.col(hashes) / F.lit(BLOCK_HASHES))).cast("long")
 
-    def side(x: str) -> DataFrame:
-        return sets.select(F.col("k0").alias(f"{x}0"), F.col("k1").alias(f"{x}1"), F.col("hashes").alias(f"{x}_set"), F.col("least_fp").alias(x))
 
-    both = pairs.join(side("a"), ["a0", "a1"]).join(side("b"), ["b0", "b1"]).withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    either = F.size("a_set") + F.size("b_set") - F.col("common")
-    return both.where(F.col("common") >= F.lit(similarity) * either - F.lit(1e-9)).select("a", "b").where("a <> b").distinct()
+def _dealt(parts, first):
+    """The block of a set; ``first`` is shown to all."""
+    own = F.pmod(F.xxhash64("k0", "k1"), parts)
+    return F.explode(F.when(first & (parts > 1), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))).alias("block")
 
 
-def _dealt(cells: DataFrame, block: int) -> DataFrame:
-    """Rows of a cell of m rows, dealt to the blocks of a grid: group i meets group j in one of them."""
-    groups = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    group = F.pmod(F.xxhash64("k0", "k1"), groups).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), groups - 1), lambda i: F.least(i, group) * groups + F.greatest(i, group))
-    return cells.select("band", "cell", F.explode(blocks).alias("block"), "k0", "k1", "n", "s0", "s1", "component")
+def _first_meetings(rows: DataFrame, block: int) -> DataFrame:
+    """Each cell's rows by block, its first set in all of its blocks."""
+    first = (F.col("k0") == F.col("first.k0")) & (F.col("k1") == F.col("first.k1"))
+    return rows.select("band", "cell", _dealt(_groups("m", "hashed", block), first), "k0", "k1", "root", "component")
 
 
-def joined_components(
-    docs: DataFrame, profiled: DataFrame, links: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
-) -> DataFrame:
+def _last_meetings(rows: DataFrame, block: int) -> DataFrame:
+    """Of cells of several blocks: the sets outside the largest group meet each other and that group.
+
+    With r sets outside in one block a cell's rows grow by r for each block of the largest group.
+    """
+    by_group = rows.groupBy("band", "cell", "component").agg(F.count("*").alias("c"), F.sum("n").alias("h"), F.first("m").alias("m"), F.first("hashed").alias("hashed"))
+    largest = by_group.groupBy("band", "cell").agg(F.max(F.struct("c", "component", "h")).alias("x"), F.first("m").alias("m"), F.first("hashed").alias("hashed"))
+    sized = largest.select("band", "cell", F.col("x.component").alias("core"), F.col("x.c").alias("in_core"), F.col("x.h").alias("core_hashes"), (F.col("m") - F.col("x.c")).alias("outside"), (F.col("hashed") - F.col("x.h")).alias("outside_hashes"))
+    deal = sized.select("band", "cell", "core", _groups("in_core", "core_hashes", block).alias("inner"), _groups("outside", "outside_hashes", block).alias("outer"))
+    both = rows.drop("m", "hashed", "first").join(deal, ["band", "cell"])
+    inner, outer, own = F.col("inner"), F.col("outer"), F.xxhash64("k0", "k1")
+    zero = F.lit(0).cast("long")
+    i, o = F.pmod(own, inner), F.pmod(own, outer)
+    # block (o, i) with i < inner: a block outside meets one of the largest group; (o, inner + p) with o <= p: two blocks outside
+    of_core = F.transform(F.sequence(zero, outer - 1), lambda q: q * (inner + outer) + i)
+    with_core = F.transform(F.sequence(zero, inner - 1), lambda q: o * (inner + outer) + q)
+    outside = F.transform(F.sequence(zero, outer - 1), lambda q: F.least(o, q) * (inner + outer) + inner + F.greatest(o, q))
+    blocks = F.when(F.col("component") == F.col("core"), of_core).otherwise(F.concat(with_core, outside))
+    return both.select("band", "cell", F.explode(blocks).alias("block"), "k0", "k1", "root", "component")
+
+
+def joined_components(docs: DataFrame, profiled: DataFrame, links: DataFrame, similarity: float = 0.8, words: int = 5, block: int = BLOCK) -> DataFrame:
     """(node, component) over ``links(a, b)`` between fingerprints and the links of texts that
     resemble each other in ``similarity`` or more.
 
-    ``profiled`` is a written table of ``profiles(docs, ...)``. Texts of equal sets are linked,
-    whatever their fingerprints. Texts without words and documents without an id have no links
-    of this kind. A cell of more than ``block`` sets is dealt to a grid of blocks, so that any
-    two meet.
+    ``docs`` has doc_id, digest and text, ``profiled`` is a written table of ``profiles(docs, ...)``.
+    Texts of equal sets are linked, whatever their fingerprints. Texts without words have no
+    links of this kind. Null and repeated ids are rows like others. A cell beyond ``block`` sets
+    is dealt to blocks of which any two that aren't joined yet meet.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    named = profiled.where("doc_id IS NOT NULL AND k0 IS NOT NULL")
-    firsts = [F.first(c).alias(c) for c in ("n", "s0", "s1", "cells")]
-    kinds = staged(named.groupBy("k0", "k1").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("least_fp"), *firsts), "kinds")
-    same = named.select("k0", "k1", "fp").distinct().join(kinds.select("k0", "k1", "least_fp"), ["k0", "k1"]).where("fp <> least_fp")
-    edges = links.unionByName(same.select(F.col("fp").alias("a"), F.col("least_fp").alias("b")))
-    components = staged(connected_components(edges), "components")
-    rows = kinds.select("k0", "k1", "n", "s0", "s1", F.col("least_fp").alias("node"), F.posexplode("cells").alias("band", "cell"))
-    for begin, end in RANKS:
-        labels = kinds.select(F.col("least_fp").alias("node")).distinct().join(components, "node").select("node", "component")
-        now = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        cells = now.groupBy("band", "cell").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-        cells = staged(cells.where(F.col("m") > begin + 1).where("low <> high").select("band", "cell", "m"), "open")
-        if cells.isEmpty():
-            break
-        rows = staged(rows.join(cells.select("band", "cell"), ["band", "cell"], "left_semi"), "rows")
-        now = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(cells, ["band", "cell"])
-        ordered = _dealt(now, block).repartition("band", "cell", "block").sortWithinPartitions("band", "cell", "block", "k0", "k1")
-        pairs = staged(ordered.mapInArrow(_proposals(similarity, begin, end), "a0 long, a1 long, b0 long, b1 long").distinct(), "proposals")
-        found = staged(_alike(docs, kinds, pairs, similarity, words), "alike")
-        if not found.isEmpty():
-            known = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            components = staged(connected_components(known.unionByName(found)), "components")
-    return components
+    named = profiled.where("k0 IS NOT NULL")
+    one = F.min(F.struct("digest", "doc_id")).alias("one")
+    kinds = Stage(named.groupBy("k0", "k1").agg(one, F.min("fp").alias("node"), F.first("n").alias("n"), F.first("cells").alias("cells")), "kinds")
+    same = named.select("k0", "k1", "fp").distinct().join(kinds.df.select("k0", "k1", "node"), ["k0", "k1"]).where("fp <> node")
+    roots = Stage(connected_components(links.unionByName(same.select(F.col("fp").alias("a"), F.col("node").alias("b")))), "roots")
+
+    rooted = kinds.df.join(roots.df.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rooted.select("k0", "k1", "n", "root", F.posexplode("cells").alias("band", "cell"))
+    key = F.xxhash64("k0", "k1")
+    cells = rows.groupBy("band", "cell").agg(F.count("*").alias("m"), F.sum("n").alias("hashed"), F.min(F.struct("k0", "k1")).alias("first"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor(key).alias("x"), F.sum(key.cast("decimal(38,0)")).alias("y"))
+    once = cells.where("m > 1 AND low <> high").groupBy("m", "x", "y").agg(F.min_by(F.struct("cell", "hashed", "first"), "band").alias("c"), F.min("band").alias("band"))
+    meeting = once.select("band", "c.cell", "m", "c.hashed", "c.first")
+    members = Stage(rows.join(meeting, ["band", "cell"]), "members")
+    if members.df.isEmpty():
+        return _ended(roots.df, kinds, members, roots)
+    wanted = members.df.select("k0", "k1").distinct().join(kinds.df.select("k0", "k1", "one"), ["k0", "k1"]).select(F.col("one.doc_id").alias("_id"), F.col("one.digest").alias("_digest"))
+    texts = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["digest"] == F.col("_digest")), "left_semi")
+    sets = Stage(_sets(texts, words).dropDuplicates(["k0", "k1"]), "sets")
+    kinds.drop()
+
+    found, now = [], None
+    several = _groups("m", "hashed", block) > 1
+    for chosen, meet in ((F.col("band") < FIRST_BANDS, _first_meetings), (F.col("band") >= FIRST_BANDS, _first_meetings), (several, _last_meetings)):
+        rows = members.df.where(chosen)
+        if rows.isEmpty():
+            continue
+        if now is None:
+            rows = rows.withColumn("component", F.col("root"))
+        else:
+            rows = rows.join(now.df.withColumnRenamed("node", "root"), "root", "left").withColumn("component", F.coalesce("component", "root"))
+            left = rows.groupBy("band", "cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "cell")
+            rows = rows.join(left, ["band", "cell"], "left_semi")
+        dealt = meet(rows, block).join(sets.df, ["k0", "k1"])
+        ordered = dealt.repartition("band", "cell", "block").sortWithinPartitions("band", "cell", "block", "k0", "k1")
+        found.append(Stage(ordered.select("band", "cell", "block", "root", "component", "hashes").mapInArrow(_compared(similarity), "a long, b long").distinct(), "alike"))
+        edges = found[0].df
+        for x in found[1:]:
+            edges = edges.unionByName(x.df)
+        if now is not None:
+            now.drop()
+        now = Stage(connected_components(edges), "joined")
+    final = roots.df.withColumnRenamed("component", "root").join(now.df.select(F.col("node").alias("root"), "component"), "root", "left")
+    # roots that no fingerprint links to another are nodes of their own
+    alone = now.df.join(roots.df.select("node"), "node", "left_anti")
+    return _ended(final.select("node", F.coalesce("component", "root").alias("component")).unionByName(alone.select("node", "component")), *found, now, members, sets, roots)
+
+
+def _ended(answer: DataFrame, *stages: Stage) -> DataFrame:
+    """The answer, written; the stages it came from are deleted."""
+    out = Stage(answer, "components").df
+    for x in stages:
+        x.drop()
+    return out

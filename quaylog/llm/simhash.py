@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -135,22 +135,15 @@ def _spanning(threshold: int):
 
         def forest(fp, home) -> tuple[list[int], list[int]]:
             """Edges of a spanning forest of the links of one cell."""
-            parent = list(range(len(fp)))
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            a, b = [], []
+            label, a, b = np.arange(len(fp)), [], []
             for x in np.nonzero(home)[0].tolist():
-                for y in np.nonzero(np.bitwise_count(fp ^ fp[x]) <= threshold)[0].tolist():
-                    p, q = root(x), root(y)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        a.append(x)
-                        b.append(y)
+                near = np.nonzero(np.bitwise_count(fp ^ fp[x]) <= threshold)[0]
+                others, at = np.unique(label[near], return_index=True)
+                apart = others != label[x]
+                if apart.any():
+                    a += [x] * int(apart.sum())
+                    b += near[at[apart]].tolist()
+                    label[np.isin(label, others[apart])] = label[x]
             return a, b
 
         def links(cells) -> pa.RecordBatch:
@@ -226,13 +219,34 @@ def fingerprint_links(fps: DataFrame, threshold: int = 4, block: int = BLOCK) ->
     return ordered.select("part", "anchor", "block", "fp", "home").mapInArrow(_spanning(threshold), "a long, b long")
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int, similarity: float | None, set_words: int) -> tuple[Stage, DataFrame]:
+    """(by document: doc_id, digest, fp; by fingerprint that has links: node, component)."""
+    from . import resemblance
+
+    text = F.col(text_col)
+    if similarity is None:
+        by_doc = Stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    else:
+        keyed = docs.select(F.col(id_col).alias("doc_id"), _digest(text).alias("digest"), text.alias("text"))
+        by_doc = Stage(resemblance.profiles(keyed, words, set_words), "profiles")
+    links = fingerprint_links(by_doc.df.select("fp").distinct(), threshold)
+    if similarity is None:
+        return by_doc, staged(connected_components(links), "components")
+    return by_doc, resemblance.joined_components(keyed, by_doc.df, links, similarity, set_words)
+
+
+def _digest(text: Column) -> Column:
+    """What stands for a text: its SHA-256; a null text is like an empty one."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 4, similarity: float | None = None, set_words: int = 5
 ) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     With a ``similarity``, texts whose sets of ``set_words`` words resemble each other in as
-    much are linked as well (``resemblance``), except those of documents without an id.
+    much are linked as well (``resemblance``).
 
     ``component_id`` is the smallest doc_id that links of at most ``threshold`` differing bits
     reach. Texts without words (null, empty, white space) have fingerprint zero and are linked
@@ -240,19 +254,33 @@ def near_duplicates(
     give a row each. Null ids get a row; their component is that of their fingerprint, null
     where no other document is in it. No rows give no rows; further columns are ignored.
     """
-    from . import resemblance
-
-    if similarity is None:
-        by_doc = staged(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    else:
-        by_doc = staged(resemblance.profiles(docs, id_col, text_col, words, set_words), "profiles")
-    first = staged(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    links = fingerprint_links(first.select("fp"), threshold)
-    if similarity is None:
-        components = staged(connected_components(links), "components")
-    else:
-        components = resemblance.joined_components(docs, by_doc, links, similarity, set_words, id_col, text_col)
+    by_doc, components = _linked(docs, id_col, text_col, words, threshold, similarity, set_words)
+    first = by_doc.df.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     named = first.join(components, first["fp"] == components["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     answer = named.join(least, "component").select("fp", "component_id")
-    return by_doc.join(answer, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return by_doc.df.join(answer, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 4, set_words: int = 5) -> DataFrame:
+    """One row of ``docs``, all columns, of each group that ``near_duplicates`` finds with a ``similarity``.
+
+    The row of the smallest id stays; of rows that share it the one whose text has the smallest
+    digest, of repeated rows any one. A group of null ids alone keeps one row. Columns
+    may have any names. No rows give no rows.
+    """
+    by_doc, components = _linked(docs, id_col, text_col, words, threshold, similarity, set_words)
+    # nulls are the smallest in Spark's order of structs, so a flag puts them last
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = by_doc.df.groupBy("fp").agg(F.min(order).alias("one"))
+    named = first.join(components, first["fp"] == components["node"], "left").select("one", F.coalesce("component", "fp").alias("component"))
+    kept = named.groupBy("component").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.digest").alias("_text"))
+    repeated = by_doc.df.groupBy("doc_id", "digest").agg(F.count("*").alias("_copies")).where("_copies > 1")
+    kept = kept.join(repeated, kept["_id"].eqNullSafe(repeated["doc_id"]) & (kept["_text"] == repeated["digest"]), "left").select("_id", "_text", F.coalesce("_copies", F.lit(1)).alias("_copies"))
+    kept = staged(kept, "kept")
+    by_doc.drop()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), _digest(F.col(text_col)).alias("digest"))
+    found = rows.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_text")))
+    if not kept.where("_copies > 1").isEmpty():
+        found = found.where("_copies = 1").unionByName(found.where("_copies > 1").dropDuplicates(["_id", "_text"]))
+    return found.select("row.*")

@@ -9,12 +9,11 @@ The table of test seeds is sent to all tasks while its counted size is below a b
 it the same seeds are joined by a shuffle.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Masks over windows of words: 1 compares, 0 ignores. Weight 5 each; any two substituted words
@@ -27,15 +26,33 @@ BASE = 0x9E3779B97F4A7C15
 
 
 def word_hashes(text: str | None):
-    """64-bit hashes of a text's words: lower case, letters and digits only."""
+    """64-bit hashes of a text's words: lower case, letters and digits only.
+
+    General and CJK punctuation and Latin signs part words like ASCII ones; in Chinese, Japanese,
+    Thai and Lao each character is a word.
+    """
     import numpy as np
 
     raw = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN)
     body = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(body) + 2, bool)
+    inside, alone = np.zeros(len(body) + 2, bool), None
     inside[1:-1] = body != 32
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, stops = edge[::2], edge[1::2]
+    if not raw.isascii():
+        for lead, low, high, length in _SIGNS:
+            at = _led(body, lead, low, high)
+            for k in range(length):
+                inside[1 + at + k] = False
+        alone = np.concatenate([_led(body, *x) for x in _ALONE])
+    if alone is None or not len(alone):
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, stops = edge[::2], edge[1::2]
+    else:
+        begins = inside[1:] & ~inside[:-1]
+        begins[alone] = begins[alone] | inside[1 + alone]
+        begins[alone + 3] |= inside[alone + 4]
+        starts = np.flatnonzero(begins)
+        ends = np.union1d(starts, np.flatnonzero(~inside[1:]))
+        stops = ends[np.searchsorted(ends, starts, "right")]
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _powers(len(body))
@@ -44,7 +61,20 @@ def word_hashes(text: str | None):
     return _mix((sums[stops] - sums[starts]) * up[starts] + (stops - starts).astype(np.uint64))
 
 
+def _led(body, lead: int, low: int, high: int):
+    """Places of a lead byte that a byte from low to high follows."""
+    import numpy as np
+
+    at = np.flatnonzero(body[:-1] == lead)
+    return at[(body[at + 1] >= low) & (body[at + 1] <= high)]
+
+
 _PLAIN = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256))
+#: UTF-8 lead byte, range of the byte after it, and length: Latin-1 signs but the ordinals and the
+#: micro sign, general punctuation, CJK punctuation. Fixed values.
+_SIGNS = ((0xC2, 0x80, 0xA9, 2), (0xC2, 0xAB, 0xB1, 2), (0xC2, 0xB4, 0xB4, 2), (0xC2, 0xB6, 0xB8, 2), (0xC2, 0xBB, 0xBB, 2), (0xC2, 0xBF, 0xBF, 2), (0xE2, 0x80, 0x81, 3), (0xE3, 0x80, 0x80, 3))
+#: The same of characters that are words: Thai and Lao, kana and CJK. Fixed values.
+_ALONE = ((0xE0, 0xB8, 0xBB), (0xE3, 0x81, 0xBF), *((lead, 0x80, 0xBF) for lead in range(0xE4, 0xEA)))
 _held: dict = {}
 
 
@@ -173,10 +203,19 @@ def overlaps(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     t = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     result = _RESULT.format(kind=d.schema["doc_id"].dataType.simpleString(), item=t.schema["item_id"].dataType.simpleString())
-    size = t.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))).first()[0] or 0
-    if size * len(MASKS) <= broadcast_seeds:
+    if _sendable(t, broadcast_seeds):
         return _by_broadcast(d, t, result, min_words, min_share)
-    return _by_join(d, t, result, min_words, min_share)
+    return _by_join(d, t, min_words, min_share)
+
+
+def _sendable(t: DataFrame, broadcast_seeds: int) -> bool:
+    """Whether the items have no more seeds than may be sent to every task.
+
+    Counted above what there are: words, and characters that may be words of their own.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.split(text, "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")) + F.length(F.regexp_replace(text, "[\\x{0}-\\x{DFF}]", ""))
+    return (t.agg(F.sum(words)).first()[0] or 0) * len(MASKS) <= broadcast_seeds
 
 
 def _by_broadcast(d: DataFrame, t: DataFrame, result: str, min_words: int, min_share: float) -> DataFrame:
@@ -211,11 +250,25 @@ def _by_broadcast(d: DataFrame, t: DataFrame, result: str, min_words: int, min_s
     return d.mapInArrow(find, result)
 
 
-def _by_join(d: DataFrame, t: DataFrame, result: str, min_words: int, min_share: float) -> DataFrame:
-    """The same by joins: seeds to alignments, then both texts of each pair.
+def _by_join(d: DataFrame, t: DataFrame, min_words: int, min_share: float) -> DataFrame:
+    """The same by joins on digests of texts: seeds to pairs of texts, those verified, then the rows that have them.
 
-    Seeds are joined as distinct (seed, text) pairs, so a passage that many texts share is a row
-    for each text and item, as the result is.
+    A text that many rows have is searched once. Null ids are rows like others.
+    """
+    d, t = (x.withColumn("digest", _digest(F.col("text"))) for x in (d, t))
+    pairs = _verified_pairs(d, t, min_words, min_share)
+    found = pairs.join(d.select("doc_id", F.col("digest").alias("doc")), "doc").join(t.select("item_id", F.col("digest").alias("item")), "item")
+    return found.select("doc_id", "item_id", "matched_words", "overlap_words", "first_word")
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def _verified_pairs(d: DataFrame, t: DataFrame, min_words: int, min_share: float) -> DataFrame:
+    """(doc, item, matched_words, overlap_words, first_word) of digests of texts with a hit.
+
+    Spark's skew join splits a seed that very many texts have.
     """
 
     def all_seeds(batches: Iterator) -> Iterator:
@@ -223,38 +276,66 @@ def _by_join(d: DataFrame, t: DataFrame, result: str, min_words: int, min_share:
         import pyarrow as pa
 
         for batch in batches:
-            ids, texts = batch.columns
+            digests, texts = batch.columns
             for i, text in enumerate(texts):
                 words = word_hashes(text.as_py())
                 keys = np.unique(np.concatenate([seeds(words, m, k) for k, m in enumerate(MASKS)])).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([i] * len(keys), pa.int64())), pa.array(keys)], ["id", "seed"])
+                yield pa.RecordBatch.from_arrays([digests.take(pa.array([i] * len(keys), pa.int64())), pa.array(keys)], ["digest", "seed"])
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            doc_ids, item_ids, texts, item_texts = batch.columns
+            docs, items, texts, item_texts = batch.columns
             out = []
             for i, (a, b) in enumerate(zip(texts, item_texts, strict=True)):
                 one = Items([(0, b.as_py())])
                 words = word_hashes(a.as_py())
-                if best := verified(words, one.words[0], sorted(s for _, s in one.alignments(words)) or [0], min_words, min_share):
+                if best := verified(words, one.words[0], sorted(s for _, s in one.alignments(words)), min_words, min_share):
                     out.append((i, *best))
             at = pa.array([x[0] for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([doc_ids.take(at), item_ids.take(at), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))], ["doc_id", "item_id", "matched_words", "overlap_words", "first_word"])
+            yield pa.RecordBatch.from_arrays([docs.take(at), items.take(at), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))], ["doc", "item", "matched_words", "overlap_words", "first_word"])
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
-        kind = df.schema[name].dataType.simpleString()
-        return df.select(name, "text").mapInArrow(all_seeds, f"id {kind}, seed long").withColumnRenamed("id", name)
+        return df.select("digest", "text").mapInArrow(all_seeds, "digest binary, seed long").distinct().withColumnRenamed("digest", name)
 
-    pairs = keyed(d, "doc_id").join(keyed(t, "item_id"), "seed").select("doc_id", "item_id").distinct()
-    # null ids are ids too; equal ones are told apart by verifying each of their texts
-    pairs = pairs.select(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item"))
-    both = pairs.join(d, F.col("_doc").eqNullSafe(F.col("doc_id"))).join(t.withColumnRenamed("text", "item_text"), F.col("_item").eqNullSafe(F.col("item_id")))
-    both = both.select("doc_id", "item_id", "text", "item_text")
-    return both.mapInArrow(verify, result)
+    def texts(df: DataFrame, name: str, text: str) -> DataFrame:
+        return df.groupBy("digest").agg(F.first("text").alias(text)).withColumnRenamed("digest", name)
+
+    pairs = keyed(d, "doc").join(keyed(t, "item"), "seed").select("doc", "item").distinct()
+    both = pairs.join(texts(d, "doc", "text"), "doc").join(texts(t, "item", "item_text"), "item")
+    return both.select("doc", "item", "text", "item_text").mapInArrow(verify, "doc binary, item binary, matched_words long, overlap_words long, first_word long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """doc_id of every document that holds a test item, once each."""
     return overlaps(docs, items, **options).select("doc_id").distinct()
+
+
+def without_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, text_col: str = "text", item_text_col: str = "text", broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text holds no test item.
+
+    Each row is judged by its text alone, so ids may be null or repeated. Null and empty texts stay.
+    """
+    t = items.select(F.col(item_text_col).alias("text"))
+    if not _sendable(t, broadcast_seeds):
+        rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), _digest(F.col(text_col)).alias("digest"))
+        pairs = _verified_pairs(rows.select("text", "digest"), t.withColumn("digest", _digest(F.col("text"))), min_words, min_share)
+        return rows.join(pairs.select(F.col("doc").alias("digest")), "digest", "left_anti").select("row.*")
+    sent = docs.sparkSession.sparkContext.broadcast([(i, r["text"]) for i, r in enumerate(t.collect())])  # bounded by its counted seeds
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = Items(sent.value)
+
+        def one(text) -> bool:
+            words = word_hashes(text)
+            by_item: dict[int, list[int]] = {}
+            for item, shift in known.alignments(words):
+                by_item.setdefault(item, []).append(shift)
+            return not any(verified(words, known.words[i], shifts, min_words, min_share) for i, shifts in by_item.items())
+
+        for texts in batches:
+            yield texts.map(one)
+
+    return docs.where(clean(F.coalesce(F.col(text_col), F.lit(""))))

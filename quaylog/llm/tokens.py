@@ -48,7 +48,7 @@ def per_process(key: tuple, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
-def word_encoder(json_path: str, ranks_path: str) -> WordEncoder:
+def word_encoder(json_path: str, ranks_path: str) -> "WordEncoder":
     return per_process(("words", json_path, ranks_path), lambda: WordEncoder(json_path, ranks_path))
 
 

@@ -3,7 +3,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quaylog.llm import resemblance, simhash
 
@@ -60,12 +62,29 @@ def test_components_of_all_pairs(spark, rows):
 
 def test_crowded_cells_in_blocks(spark, rows):
     rows = [r for r in rows if r[0] >= 1_000_000]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    profiled = resemblance.profiles(docs, "doc_id", "text", 4, 5).cache()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)))
+    profiled = resemblance.profiles(docs, 4, 5).cache()
     none = spark.createDataFrame([], "a long, b long")
-    whole, split = ({tuple(r) for r in resemblance.joined_components(docs, profiled, none, block=b).collect()} for b in (2048, 7))
+    whole, split, single = ({tuple(r) for r in resemblance.joined_components(docs, profiled, none, block=b).collect()} for b in (512, 7, 1))
     sizes = Counter(c for _, c in whole)
-    assert whole == split and max(sizes.values()) > 14
+    assert whole == split == single and max(sizes.values()) > 14
+
+
+def test_alike_against_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 40):
+        base = rng.integers(0, 10_000, 300).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(300) < rng.uniform(0, 0.2), rng.integers(0, 10_000, 300).astype(np.uint64), base)) for _ in range(n)]
+        want = [[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9 for b in sets] for a in sets]
+        assert (resemblance.alike(sets, 0.8) == np.array(want)).all()
+
+
+def test_forest_joins_what_links_join():
+    linked = np.eye(6, dtype=bool)
+    for a, b in ((0, 1), (1, 2), (3, 4)):
+        linked[a, b] = linked[b, a] = True
+    assert len(resemblance.forest(linked, np.arange(6))) == 3
+    assert len(resemblance.forest(linked, np.array([7, 7, 8, 9, 9, 5]))) == 1
 
 
 def test_repeated_null_and_empty(spark):
@@ -82,3 +101,18 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, text), (2, _edited(text, 0.015, rng)), (3, text[: len(text) // 2])], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs, similarity=0.8).collect()}
     assert got == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_one_row_of_each_group(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "quite another text of more than a few words in all"
+    third = "nothing that the two before it say is said again here"
+    rows = [(2, text, "a"), (1, text.upper(), "b"), (1, text.upper(), "b"), (1, other, "c"), (None, other, "d"), (None, third, "e"), (None, third, "f"), (3, None, "g"), (3, "", "h"), (3, "  ", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("row", F.lit(1)).withColumn("_id", F.lit(2))
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], (r["text"] or "").strip()) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(1, text.upper()), (1, other), (None, third), (3, "")], key=str)
+    assert simhash.representatives(docs.where("false")).count() == 0
+    only = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    assert simhash.representatives(only).count() == 1
