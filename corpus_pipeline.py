@@ -10,43 +10,53 @@ from quaylog.llm.staging import bounded_batches, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned lexicon doesn't call toxic."""
+    """Documents that the learned lexicon doesn't call toxic.
+
+    Each row is judged by its text, so ids may be null or repeated. Null and empty texts have the
+    score of a text without hits. Without labels all documents have one score, below the threshold.
+    """
     bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.learn_lexicon(docs, labels.where(~toxicity.held_out()))
-    toxic = toxicity.score_documents(docs, lexicon).where("predicted = 1").select("doc_id")
-    return docs.join(toxic.distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.where(~toxicity.toxic(docs["text"], lexicon))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that fingerprints or shingles of five words link, once.
+    """One row of each group that fingerprints or shingles of five words link: that of the smallest id.
 
-    Documents without an id can't be told apart and stay.
+    Different texts of one id are different documents, repeated rows are copies, null ids come
+    last. Texts without words are copies of each other.
     """
     bounded_batches(spark)
-    groups = staged(simhash.near_duplicates(docs, similarity=0.8), "groups")
-    if not groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return simhash.representatives(docs, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Each row is judged by its text, so ids may be null or repeated. Null and empty texts stay.
+    """
     bounded_batches(spark)
-    found = spaced_seeds.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return spaced_seeds.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked and their lengths counted anew."""
+    """All documents, with their secrets masked and, where they have ``n_chars``, their lengths counted anew.
+
+    Null texts stay null, and so does their length. Ids play no part.
+    """
     bounded_batches(spark)
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens, mixed by source."""
+    """Pieces of the documents in sequences of 2048 tokens, mixed by source.
+
+    A null or empty text is one end-of-text id. Null and repeated ids are packed row by row.
+    """
     bounded_batches(spark)
     return packing.pack(docs)
 
