@@ -3,8 +3,11 @@
 Markup is stripped to one line per block, with the length of its text outside links; lines
 of menus, headers, footers, sidebars, notices, adverts, forms and reader comments have length
 zero. Lengths are summed over windows of three lines. Text begins where the sums surge
-above a threshold and ends where they dive to zero; what lies between is kept. Inside a declared
-article any text is a surge; elsewhere it takes a paragraph's worth.
+above a threshold and ends where they dive to zero; what lies between is kept.
+
+Where articles are declared, lines outside them have length zero and the boilerplate inside
+them is no line at all, so the sums dive between articles only. An article whose sums
+don't surge, beside others that do, isn't kept. The page is read once: every step takes time in proportion to it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 90
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[a-zA-Z/!?](?:[^'\">]|\"[^\"]*\"|'[^']*')*>|<[a-zA-Z/!?][^>]*>", re.S)
+_TAG, _END = re.compile(r"<[a-zA-Z/!?]"), re.compile("[\"'>]")
 _NAME = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
 _MARK = re.compile(r"(?<![\w-])(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
@@ -83,7 +86,7 @@ def _kind(tag: str, name: str, inside: bool) -> str:
     if name in DROPPED or (name == "header" and not inside) or ["hidden"] in marks:
         return "drop"
     content = words & CONTENT
-    boilerplate = bool(words) and _named(marks, BOILERPLATE) and not content
+    boilerplate = bool(words) and _named(marks, BOILERPLATE, FRAME | CONTENT)
     if name in ("article", "main"):
         return "teaser" if boilerplate else "article"
     if boilerplate or (words and _named(marks, HEADERS) and not inside and not content):
@@ -131,13 +134,65 @@ class _Tree:
         return out
 
 
+class _Ends:
+    """Where tags end: at the first '>' outside quotes, or at the first of all where quotes aren't closed.
+
+    What a search has found is kept, so no part of the page is searched twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.after, self.from_to, self.missing = page, {}, (0, -1), set()
+
+    def _next(self, at: int) -> int:
+        """The next quote or '>', or the page's end."""
+        if not self.from_to[0] <= at <= self.from_to[1]:
+            m = _END.search(self.page, at)
+            self.from_to = (at, m.start() if m else len(self.page))
+        return self.from_to[1]
+
+    def find(self, sign: str, at: int) -> int:
+        if sign in self.missing:
+            return -1
+        found = self.page.find(sign, at)
+        if found < 0:
+            self.missing.add(sign)
+        return found
+
+    def of(self, begin: int) -> int:
+        """The place after the tag that begins there, or -1."""
+        at, way, end = begin + 1, [], -1
+        while at not in self.after:
+            way.append(at)
+            sign = self._next(at)
+            if sign == len(self.page):
+                break
+            if self.page[sign] == ">":
+                end = sign + 1
+                break
+            closing = self.find(self.page[sign], sign + 1)
+            if closing < 0:
+                break
+            at = closing + 1
+        else:
+            end = self.after[at]
+        self.after.update(dict.fromkeys(way, end))
+        return end if end > 0 else self.find(">", begin) + 1 or -1
+
+
 def _tokens(page: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, tag, element's name or '') of the page's tags, comments and what is left out whole."""
     out: list[tuple[int, int, str, str]] = []
-    at, sought = 0, {}
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        tag = m[0]
+    ends, at, sought = _Ends(page), 0, {}
+    while m := _TAG.search(page, at):
+        begin = m.start()
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4) + 3
+            end = end if end > 2 else len(page)
+        elif page.startswith("<![CDATA[", begin) and (end := ends.find("]]>", begin) + 3) > 2:
+            pass
+        elif (end := ends.of(begin)) < 0:
+            break  # no '>' follows
+        at, tag = end, page[begin:end]
         named = _NAME.match(tag)
         name = named[1].lower() if named else ""
         if name in PLAIN and tag[1] != "/":
@@ -151,7 +206,7 @@ def _tokens(page: str) -> list[tuple[int, int, str, str]]:
             if not empty:
                 at = after.end() if after else len(page)
             tag, name = "", ""
-        out.append((m.start(), at, tag, name))
+        out.append((begin, at, tag, name))
     return _without_enclosed(out)
 
 
@@ -182,11 +237,51 @@ def _without_enclosed(tokens: list[tuple[int, int, str, str]]) -> list[tuple[int
     return out
 
 
+class _Open:
+    """The open elements, innermost last, with the places of each name and of blocks."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.nodes: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def inner(self) -> int:
+        return self.nodes[-1] if self.nodes else 0
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCKS:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.names) > place:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """An end tag: of a block it closes all inside, of others nothing beyond a block."""
+        if places := self.places.get(name):
+            if name in BLOCKS and name != "p" or not self.blocks or self.blocks[-1] <= places[-1]:
+                self.cut(places[-1])
+
+    def block(self, name: str) -> None:
+        """A block begins: it closes an open paragraph and what that holds; an item closes its neighbour."""
+        if self.blocks:
+            last = self.names[self.blocks[-1]]
+            if last == "p" or (last == name and name in ("li", "dd", "dt", "td", "th", "tr", "option")):
+                self.cut(self.blocks[-1])
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, length outside links, dropped, number of the declared article or 0) of each block."""
     lines: list[tuple[str, int, int]] = []
-    tree = _Tree()
-    stack: list[tuple[str, int]] = []
+    tree, open_ = _Tree(), _Open()
     parts: list[str] = []
     linked = 0
 
@@ -194,7 +289,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, max(0, len(text) - linked), stack[-1][1] if stack else 0))
+            lines.append((text, max(0, len(text) - linked), open_.inner()))
         parts.clear()
         linked = 0
 
@@ -223,9 +318,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if tag[1] == "/":
             if name == "a":
                 links = 0
-            top = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if top is not None and (name in BLOCKS and name != "p" or not any(n in BLOCKS for n, _ in stack[top + 1 :])):
-                del stack[top:]
+            open_.close(name)
             continue
         if name in VOID or tag.endswith("/>"):
             continue
@@ -233,43 +326,62 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             links = 1
             continue
         if name in BLOCKS:
-            # a block closes an open paragraph and what that holds; an item closes its neighbour
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or (stack[i][0] == name and name in ("li", "dd", "dt", "td", "th", "tr", "option")):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        within = stack[-1][1] if stack else 0
-        stack.append((name, tree.add(within, _kind(tag, name, tree.article[within] > 0))))
+            open_.block(name)
+        within = open_.inner()
+        open_.push(name, tree.add(within, _kind(tag, name, tree.article[within] > 0)))
     parts.append(page[at:])
     flush()
     dropped = tree.dropped(lines)
     return [(text, own, dropped[i], tree.article[i]) for text, own, i in lines]
 
 
+def stretches(lengths: list[int], surge: float, window: int = WINDOW, back: bool = False) -> list[tuple[int, int]]:
+    """(begin, end) of lines between surge and dive points.
+
+    The sum of a line is that of the ``window`` lines from it on. A stretch begins at a line with text whose sum
+    reaches ``surge``, or with ``back`` at the first of the lines with text that lead up to it,
+    and ends after its last line with text before the sums dive to zero.
+    """
+    out: list[tuple[int, int]] = []
+    total, begin, last, lead = sum(lengths[: window - 1]), -1, 0, 0
+    for i, length in enumerate(lengths):
+        total += lengths[i + window - 1] if i + window - 1 < len(lengths) else 0
+        if begin < 0 and length and total >= surge:
+            begin = lead if back else i
+        if begin >= 0 and not total:
+            out.append((begin, last + 1))
+            begin = -1
+        if length:
+            last = i
+        else:
+            lead = i + 1
+        total -= length
+    return [*out, (begin, last + 1)] if begin >= 0 else out
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive points; empty if there is none.
 
-    Of a page with declared articles, the text of all that aren't comments, nor in boilerplate
-    beside the longest one.
+    Of a page with declared articles, the text of those that surge and aren't comments, nor in boilerplate
+    beside the longest one; the threshold falls to an eighth of the largest sum where that is less.
     """
     lines = lines_of(page or "")
-    if any(article and not dropped for _, _, dropped, article in lines):
+    declared = any(article and not dropped for _, _, dropped, article in lines)
+    if declared:
+        apart: list[tuple[str, int, bool, int]] = []
+        for x in lines:
+            if x[2] and x[3]:
+                continue
+            if apart and apart[-1][3] != x[3]:  # a window's lines part an article from what is beside it, however near
+                apart += [("", 0, True, 0)] * window
+            apart.append(x)
+        lines = apart
         lengths = [len(text) if article and not dropped else 0 for text, _, dropped, article in lines]
-        surge = 1
+        surge = min(surge, max((sum(lengths[i : i + window]) for i in range(len(lengths))), default=0) / 8)
     else:
         lengths = [0 if dropped or 2 * own < len(text) else own for text, own, dropped, _ in lines]
-    sums = [sum(lengths[i : i + window]) for i in range(len(lines))]
-    kept, on = [], False
-    for i, (text, _, _, _) in enumerate(lines):
-        if not on and lengths[i] and sums[i] >= surge:
-            on = True
-        if on and not sums[i]:
-            on = False
-        if on and lengths[i]:
-            kept.append(text)
-    return "\n".join(kept)
+    found = stretches(lengths, surge, window, back=declared)
+    return "\n".join(text for a, b in found for text, _, dropped, _ in lines[a:b] if not dropped)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -7,9 +7,9 @@ within one quantum, and what it lacks at the end of a window is served first in
 The due time depends on nothing but the place in the queue, so windows and partitions
 need no hand-over: the deficit carried across both is in the clock itself.
 
-Documents are cut into quanta of 64 ids, the last one into powers of two (37 = 32 + 4 + 1).
-Pieces of one size, ordered by due time, fill whole slots of 64 ids, and the slots of all
-sizes are interleaved in proportion. A sequence is 32 consecutive slots, so no sequence but
+Documents are cut into quanta of 256 ids, the last one into powers of two (37 = 32 + 4 + 1).
+Pieces of one size, ordered by due time, fill whole slots of 256 ids, and the slots of all
+sizes are interleaved in proportion. A sequence is 8 consecutive slots, so no sequence but
 the last is padded. Ids are checksummed while they are at hand and never shuffled.
 """
 
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import buckets_for, hex_fraction_bucket, with_positions
+from .positions import buckets_for, hex_fraction_bucket, shuffle_key, with_positions
 from .staging import Stage
 from .tokens import tokenizer_file, word_encoder
 
-QUANTUM = 64
+QUANTUM = 256
 END_OF_TEXT = 1
 
 
@@ -102,7 +102,7 @@ def pack(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),
         F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col))).alias("stratum"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("shuffle_key"),
+        shuffle_key(seed, F.col(id_col), F.col(text_col)).alias("shuffle_key"),
     )
     tokenized = Stage(_tokenized(queued, "text", json_path, ranks_path, end_id, quantum), "tokens")
     rows = tokenized.df.count()

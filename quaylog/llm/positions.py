@@ -23,6 +23,12 @@ def hex_fraction_bucket(key: Column, buckets: int) -> Column:
     return F.floor(head * F.lit(buckets) / F.lit(float(2**32))).cast("long")
 
 
+def shuffle_key(seed: int, row_id: Column, text: Column) -> Column:
+    """A hex digest that puts rows in a seeded random order; null and repeated ids are told apart by their texts."""
+    body = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":"), body).cast("binary"))
+
+
 def with_positions(df: DataFrame, keys: list[str], bucket: str, order: list[str], weight: str | None = None) -> DataFrame:
     """Adds ``before`` (sum of weights of the rows before, by ``order`` within ``keys``)
     and ``in_all`` (sum of weights of the key). Keys and bucket hold no null."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .positions import buckets_for, hex_fraction_bucket, with_positions
+from .positions import buckets_for, hex_fraction_bucket, shuffle_key, with_positions
 from .staging import staged
 
 
@@ -34,7 +34,7 @@ def stratified_shards(docs: DataFrame, shards: int = 24, seed: int = 7, id_col:
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.when(F.col(source_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source_col))).alias("stratum"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("shuffle_key"),
+            shuffle_key(seed, F.col(id_col), text).alias("shuffle_key"),
         ),
         "shards",
     )
@@ -77,7 +77,7 @@ WITH RECURSIVE bits(i, k, c) AS (
 slim AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 8 AS size, coalesce(text, '') AS body,
          CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum,
-         md5('7:' || coalesce(doc_id::VARCHAR, '')) AS shuffle_key
+         md5('7:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS shuffle_key
   FROM documents
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY shuffle_key, doc_id) - 1 AS r,

@@ -2,8 +2,9 @@
 
 The pre-tokenizer never joins text across a space that has no white space on its left, so a
 text without white space before a space is the concatenation of its space-led words. Words
-are told apart by a 64-bit fingerprint and their length; new ones are encoded together and
-all are then gathered from the pool of known ids. Other texts are encoded whole.
+are looked up by a 64-bit fingerprint; new ones are encoded together and all are then gathered
+from the pool of known ids. The bytes of every word are compared with those of the word
+found, and a text with a word that only shares a fingerprint is encoded whole, as are other texts.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from typing import Any
 
 import numpy as np
 
-#: Distinct words a worker remembers; then it starts anew.
-KNOWN_WORDS = 1_000_000
+#: Bytes of words, ids and tables a worker remembers; then it starts anew.
+POOL_BYTES = 64 << 20
 #: Bytes of text that are split into words at a time.
 STEP_BYTES = 2 << 20
 BASE = 0x9E3779B97F4A7C15
@@ -90,6 +91,30 @@ class WordEncoder:
     def _forget(self) -> None:
         self.keys, self.offset, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.spelled, self.word, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _held(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.offset, self.length, self.pool, self.spelled, self.word, self.size))
+
+    def _pieces(self, text: str) -> list[str]:
+        """A long text in parts that are encoded apart: cut before spaces without white space on their left."""
+        most = STEP_BYTES // 4
+        if len(text) <= most or any(s in text for s in self.specials):
+            return [text]
+        out, at = [], 0
+        while len(text) - at > most:
+            cut = text.rfind(" ", at + 1, at + most)
+            while cut > at and text[cut - 1].isspace():
+                cut = text.rfind(" ", at + 1, cut)
+            if cut <= at:  # no such space there: the next one after it
+                cut = at + most
+                while (cut := text.find(" ", cut)) > 0 and text[cut - 1].isspace():
+                    cut += 1
+                if cut < 0:
+                    break
+            out.append(text[at:cut])
+            at = cut
+        return [*out, text[at:]]
 
     def whole(self, text: str) -> np.ndarray:
         if any(s in text for s in self.specials):
@@ -101,6 +126,13 @@ class WordEncoder:
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [self._pieces(t) for t in texts]
+        if all(len(p) == 1 for p in pieces):
+            return self._encode_pieces(texts)
+        found = iter(self._encode_pieces([x for p in pieces for x in p]))
+        return [np.concatenate([next(found) for _ in p]) for p in pieces]
+
+    def _encode_pieces(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
@@ -113,6 +145,8 @@ class WordEncoder:
         return out
 
     def _step(self, texts: list[str]) -> list[np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > STEP_BYTES:  # one word, or nearly so
+            return [self.whole(texts[0])]
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         joined = b"".join(raw)
         body = np.frombuffer(joined, np.uint8)
@@ -131,6 +165,7 @@ class WordEncoder:
         starts = np.flatnonzero(edge)
         stops = np.append(starts[1:], len(body))
         where = self._known(joined, body, starts, stops)
+        alone |= {int(i) for i in np.unique(np.searchsorted(ends, starts[self._misread(body, starts, stops, where)], side="right"))}
         length = self.length[where]
         before = np.append(0, np.cumsum(length))
         ids = self.pool[np.arange(before[-1]) + np.repeat(self.offset[where] - before[:-1], length)]
@@ -146,7 +181,7 @@ class WordEncoder:
         key = (sums[stops] - sums[starts]) * self.up[starts]
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + (stops - starts).astype(np.uint64)
         distinct, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.keys) > KNOWN_WORDS:
+        if self._held() > POOL_BYTES:
             self._forget()
         at = np.searchsorted(self.keys, distinct)
         new = np.ones(len(distinct), bool)
@@ -156,14 +191,31 @@ class WordEncoder:
             ids, offsets, lengths = self._encode([joined[a:b] for a, b in zip(starts[first[new]].tolist(), stops[first[new]].tolist(), strict=True)])
             offsets += len(self.pool)
             self.pool = np.concatenate([self.pool, ids])
+            sizes = stops[first[new]] - starts[first[new]]
+            words = np.cumsum(sizes) - sizes
+            spelled = body[np.arange(int(sizes.sum())) + np.repeat(starts[first[new]] - words, sizes)]
+            words += len(self.spelled)
+            self.spelled = np.concatenate([self.spelled, spelled])
             keys = np.concatenate([self.keys, distinct[new]])
             order = np.argsort(keys)
             self.keys = keys[order]
             self.offset = np.concatenate([self.offset, offsets])[order]
             self.length = np.concatenate([self.length, lengths])[order]
+            self.word = np.concatenate([self.word, words])[order]
+            self.size = np.concatenate([self.size, sizes])[order]
             at = np.searchsorted(self.keys, distinct)
         return at[inverse]
 
+    def _misread(self, body: np.ndarray, starts: np.ndarray, stops: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Words whose bytes aren't those of the pool's word."""
+        size = stops - starts
+        wrong = self.size[where] != size
+        word = np.where(wrong, 0, self.word[where])
+        there = np.repeat((word - starts).astype(np.int32), size) + np.arange(len(body), dtype=np.int32)
+        differ = np.flatnonzero(self.spelled[np.minimum(there, len(self.spelled) - 1)] != body)
+        wrong[np.searchsorted(starts, differ, side="right") - 1] = True
+        return np.flatnonzero(wrong)
+
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and each word's offset and length there; space-led words in one call."""
         texts = [w.decode("utf-8", "replace") for w in words]

@@ -108,6 +108,26 @@ def test_word_encoder_equals_the_tokenizer():
     assert [x.tolist() for x in encoder.encode_all(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_that_share_a_fingerprint_keep_their_ids():
+    encoder = tokens.WordEncoder(tokens.tokenizer_file("byte_bpe_50k.json"), tokens.tokenizer_file("byte_bpe_50k.tiktoken"))
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    for texts in ([a, b], [b], [f"x {a} y", f"x {b} y", "z"], [f"{b} {a}"]):
+        assert [x.tolist() for x in encoder.encode_all(texts)] == [encoder.whole(t).tolist() for t in texts]
+
+
+def test_long_texts_are_encoded_in_parts():
+    encoder = tokens.WordEncoder(tokens.tokenizer_file("byte_bpe_50k.json"), tokens.tokenizer_file("byte_bpe_50k.tiktoken"))
+    rng = random.Random(7)
+    text = " ".join(rng.choice(["foo", "bär", "x  y", "\n z", "abc\t", "Wort" * 20, "日本語"]) for _ in range(200_000))
+    assert len(encoder._pieces(text)) > 1
+    assert encoder.encode_all(["a", text, ""])[1].tolist() == encoder.whole(text).tolist()
+
+
 # SimHash
 
 
@@ -207,6 +227,27 @@ def test_repeats(spark, docs, monkeypatch, window, chunk, wide):
     assert sorted(map(tuple, got), key=str) == brute_repeats(rows, window)
 
 
+def test_strings_that_meet_in_powers_of_two_are_no_repeats(spark):
+    a = thue_morse(2048)
+    rows = [(1, a), (2, a.translate(str.maketrans("ab", "ba"))), (3, "c" + a[:2047])]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 2048).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 2048)
+
+
+def test_products_modulo_the_prime():
+    rng = np.random.default_rng(1)
+    a, b = (np.append(rng.integers(0, suffixes.PRIME, 500, dtype=np.uint64), [np.uint64(suffixes.PRIME - 1)]) for _ in range(2))
+    assert suffixes._times(a, b).tolist() == [int(x) * int(y) % suffixes.PRIME for x, y in zip(a, b, strict=True)]
+
+
+def test_repeats_in_a_text_beyond_a_chunk(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh") for _ in range(150_000))
+    rows = [(1, text), (2, text[70_000:70_900] + "x" * 150), (3, text[:199])]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=10_000).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 200)
+
+
 def test_repeats_of_nothing(spark):
     assert suffixes.remove_repeats(corners(spark, [])).count() == 0
     assert len(suffixes.remove_repeats(corners(spark)).collect()) == len(CORNERS)
@@ -393,9 +434,55 @@ def test_all_articles_but_comments_are_kept():
     assert html_text.main_text(page + other) == "One.\nTwo is the longest.\nThree."
 
 
+def test_boilerplate_in_an_article_is_left_out():
+    for mark in ("sponsored-content", "related-post", "newsletter-entry", "main-menu", "post-navigation", "widget-text"):
+        assert html_text.main_text(f"<article><p>One.</p><div class='{mark}'><p>Not of the article.</p></div><p>Two.</p></article>") == "One.\nTwo.", mark
+
+
+def test_articles_that_do_not_surge():
+    long = "A paragraph of the article, long enough to make the sums of its lines surge. " * 20
+    page = f"<article><h1>T</h1><p>By A</p><p>Now</p><p>Tags</p><p>{long}</p><div class='ad'><p>a</p><p>b</p><p>c</p><p>d</p></div><p>End.</p></article>"
+    assert html_text.main_text(page + "<article>More</article>") == f"T\nBy A\nNow\nTags\n{long.strip()}\nEnd."
+
+
+def test_stretches_against_all_sums():
+    rng = random.Random(6)
+    for _ in range(2000):
+        lengths = [rng.choice([0, 0, 0, 3, 20, 60]) for _ in range(rng.randrange(25))]
+        sums = [sum(lengths[i : i + 3]) for i in range(len(lengths))]
+        for back in (False, True):
+            want, i = [], 0
+            while i < len(lengths):
+                if lengths[i] and sums[i] >= 70:
+                    begin = i
+                    while back and begin and lengths[begin - 1]:
+                        begin -= 1
+                    while i < len(lengths) and sums[i]:
+                        i += 1
+                    want.append((begin, max(k for k in range(i) if lengths[k]) + 1))
+                else:
+                    i += 1
+            assert html_text.stretches(lengths, 70, 3, back) == want, lengths
+
+
+@pytest.mark.parametrize("part", ["<p a=\"x>", "<p a=\" '>", "<a", "<span></b>", "<b><div><i></b>", "<![CDATA[ <p>", "<article>x</article>", "<svg>", "&#x", "<!-", "<li>"])
+def test_long_pages_take_time_in_proportion(part):
+    import time
+
+    page = part * (1_000_000 // len(part))
+    html_text.main_text(page[:1000])
+    at = time.process_time()
+    html_text.main_text(page[: len(page) // 8])
+    short = time.process_time() - at
+    at = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - at < 25 * max(short, 0.05)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<article><p>é", "x")], "page_id long, url string, html string, text string")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(df).collect()) == [("", 0), ("é", 1)]
+    assert html_text.extract(df.where("false")).count() == 0 and html_text.extract(df.unionAll(df)).count() == 4
 
 
 def test_revisits_match_sql(spark):
