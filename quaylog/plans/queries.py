@@ -234,7 +234,7 @@ def _(s, d):
 
 @_query("timeout_duration", _with("SELECT event_sequence, (session_id + 1)::BIGINT * 1000000 AS duration, 30000000::BIGINT AS other FROM cap"))
 def _(s, d):
-    t = F.concat(F.lit("WorkloadTools.Timeout["), F.col("session_id") + 1, F.lit("]"))
+    t = F.concat(F.lit(parsers.TOOL_PREFIX + "Timeout["), F.col("session_id") + 1, F.lit("]"))
     return events(s, d).select("event_sequence", sql_text.timeout_duration(t).alias("duration"), sql_text.timeout_duration(F.lit(None).cast("string")).alias("other"))
 
 

@@ -15,28 +15,30 @@ XE_SCHEMA = "_name string, _timestamp string, data array<struct<_name:string,val
 XE_TYPES = {"sql_batch_completed": 3, "rpc_completed": 1, "sql_batch_starting": -3, "rpc_starting": 2, "login": 2, "attention": 5, "user_event": 7}
 TRACE_TYPES = {10: 1, 11: 2, 12: 3, 13: -3, 14: 2, 82: 5}
 ERROR_EVENT, TIMEOUT_EVENT = 83, 82
+#: What the marks of a capture tool's own timeout events begin with; give that of the tool that took the capture.
+TOOL_PREFIX = "Capture."
 
 
-def parse_xe(df: DataFrame, xml_col: str = "event_data") -> DataFrame:
+def parse_xe(df: DataFrame, xml_col: str = "event_data", tool_prefix: str = TOOL_PREFIX) -> DataFrame:
     """One row per event of a kind that is known; pooled logins and other tools' timeouts are gone.
 
-    The XML is parsed once; fields and actions become one map. Columns that ``df`` has besides
-    the XML stay.
+    The XML is parsed once; of fields and actions of one name the last counts. Columns that
+    ``df`` has besides the XML stay.
     """
     known = F.create_map(*[F.lit(x) for k, v in XE_TYPES.items() for x in (k, v)])
     d = df.withColumn("_x", once(F.from_xml(F.col(xml_col), XE_SCHEMA))).withColumn("_type", known[F.col("_x._name")]).where("_type IS NOT NULL")
-    nodes = F.concat(F.coalesce("_x.data", F.array().cast("array<struct<_name:string,value:string>>")), F.coalesce("_x.action", F.array().cast("array<struct<_name:string,value:string>>")))
-    last = F.aggregate(nodes, F.create_map().cast("map<string,string>"), lambda m, n: F.map_concat(F.map_filter(m, lambda k, _: k != n["_name"]), F.create_map(n["_name"], n["value"])))
-    d = d.withColumn("_f", once(F.map_filter(last, lambda k, _: k.isNotNull())))
+    none = F.array().cast("array<struct<_name:string,value:string>>")
+    d = d.withColumn("_nodes", once(F.reverse(F.concat(F.coalesce("_x.data", none), F.coalesce("_x.action", none)))))
+    names, values = F.col("_nodes._name"), F.col("_nodes.value")
 
     def field(name: str) -> Column:
-        return F.col("_f").getItem(name)
+        return F.get(values, (F.array_position(names, name) - 1).cast("int"))
 
     def number(name: str, kind: str = "long") -> Column:
         return field(name).try_cast(kind)
 
     name, user_id = F.col("_x._name"), number("event_id", "int")
-    ours = F.coalesce(field("user_info"), F.lit("")).startswith("WorkloadTools.")
+    ours = F.coalesce(field("user_info"), F.lit("")).startswith(tool_prefix)
     kind = F.when((name == "user_event") & (user_id == TIMEOUT_EVENT), F.when(ours, 5)).otherwise(F.col("_type"))
     timeout, error = F.col("event_type") == 5, F.col("event_type") == 7
     text = (
@@ -67,7 +69,7 @@ def parse_xe(df: DataFrame, xml_col: str = "event_data") -> DataFrame:
     )
 
 
-def parse_trace(df: DataFrame) -> DataFrame:
+def parse_trace(df: DataFrame, tool_prefix: str = TOOL_PREFIX) -> DataFrame:
     """One row per trace row of a known class. Columns are found by name in any case; those
     that a trace lacks are null."""
     have = {c.lower(): c for c in df.columns}
@@ -78,7 +80,7 @@ def parse_trace(df: DataFrame) -> DataFrame:
     known = F.create_map(*[F.lit(x) for k, v in TRACE_TYPES.items() for x in (k, v)])
     cls, data = column("EventClass", "int"), column("TextData", "string")
     d = df.withColumn("event_type", known[cls]).where("event_type IS NOT NULL")
-    d = d.where((cls != 14) | (column("EventSubClass", "int") == 1)).where((cls != 82) | data.startswith("WorkloadTools.Timeout["))
+    d = d.where((cls != 14) | (column("EventSubClass", "int") == 1)).where((cls != 82) | data.startswith(f"{tool_prefix}Timeout["))
     timeout = F.col("event_type") == 5
     text = F.when(cls == 14, NONPOOLED).when(timeout, F.coalesce(decode_utf16(column("BinaryData", "binary")), data)).otherwise(data)
     lasted = timeout_duration(data)
