@@ -42,13 +42,14 @@ def cuts(tokens: int, quantum: int = QUANTUM) -> list[tuple[int, int]]:
     return out
 
 
-def _tokenized(docs: DataFrame, text_col: str, json_path: str, ranks_path: str, end_id: int, quantum: int) -> DataFrame:
+def _tokenized(docs: DataFrame, text_col: str, json_path: str | None, ranks_path: str | None, end_id: int, quantum: int) -> DataFrame:
     """doc_id, stratum, shuffle_key, doc_tokens and an array of (start, length, crc)."""
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, end = word_encoder(json_path, ranks_path), end_id.to_bytes(4, "little")
+        # the default vocabulary is the worker's own file
+        encoder, end = word_encoder(json_path or tokenizer_file("byte_bpe_50k.json"), ranks_path or tokenizer_file("byte_bpe_50k.tiktoken")), end_id.to_bytes(4, "little")
         for batch in batches:
             totals, offsets, starts, lengths, crcs = [], [0], [], [], []
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
@@ -96,8 +97,6 @@ def pack(
     """
     if sequence_tokens % quantum or quantum & (quantum - 1):
         raise ValueError("the quantum must be a power of two that divides the sequence")
-    json_path = json_path or tokenizer_file("byte_bpe_50k.json")
-    ranks_path = ranks_path or tokenizer_file("byte_bpe_50k.tiktoken")
     queued = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(text_col).alias("text"),

@@ -3,9 +3,9 @@
 Each tree halves a bounded sample again and again at the median of a random projection (the
 difference of two of its vectors). All rows are then indexed: every vector goes to one leaf
 of each tree. A query descends all trees at once through one priority queue, ordered by the
-largest margin by which a path has left the query's side, and takes leaves until it is
-expected to have seen a set share of the rows. The candidates of those leaves are reranked
-by exact cosine in double precision.
+largest margin by which a path has left the query's side, and takes leaves until they should
+hold a number of rows that grows slower than the table. The candidates of those leaves are reranked
+by exact cosine in double precision. Each dimension that occurs has a forest of its own.
 
 Equal vectors are one entry with its smallest ids. A leaf with many vectors is split into
 blocks that meet the leaf's queries in different tasks.
@@ -21,72 +21,79 @@ from pyspark.sql import functions as F
 
 from .staging import Stage, staged
 
-TREES = 24
-#: Vectors that trees are fitted on; the number of leaves is bounded by a part of it.
+TREES = 16
+#: Vectors of each dimension that trees are fitted on; the number of leaves is bounded by a part of it.
 SAMPLE_ROWS = 20_000
-SAMPLE_LEAF = 40
-#: Share of all rows that a query's leaves would hold if trees were independent (they overlap, so
-#: about a quarter less are seen). Structureless data in 64 dimensions
-#: need this much for a recall of 0.9; clustered data much less.
-SEARCH_SHARE = 0.8
+SAMPLE_LEAF = 20
+#: Rows that a query's leaves should hold: FACTOR * rows ** POWER, all of them where that is more.
+#: Structureless data in 64 dimensions need so many for a recall of 0.95; clustered data far fewer.
+SEARCH_FACTOR, SEARCH_POWER = 2.1, 0.86
 BLOCK = 8192
 
 
-class Forest:
-    """Trees as complete binary trees in arrays: node i has children 2i + 1 and 2i + 2."""
-
-    def __init__(self, sample, trees: int, seed: int):
-        import numpy as np
+def fitted(sample, trees: int, seed: int):
+    """(normals, cuts) of trees as complete binary trees in arrays: node i has children 2i + 1 and 2i + 2."""
+    import numpy as np
 
-        rng = np.random.default_rng(seed)
-        n, dims = sample.shape
-        self.depth = max(0, min(12, int(np.log2(max(1, n / SAMPLE_LEAF)))))
-        inner = 2**self.depth - 1
-        self.normals, self.cuts = np.zeros((trees, inner, dims)), np.zeros((trees, inner))
-        for t in range(trees):
-            where = np.zeros(n, np.int64)
-            for node in range(inner):
-                mine = np.flatnonzero(where == node)
-                normal = rng.standard_normal(dims)
-                if len(mine) > 1:
-                    a, b = sample[rng.choice(mine, 2, replace=False)]
-                    if (a != b).any():
-                        normal = a - b
-                self.normals[t, node] = normal / np.linalg.norm(normal)
-                along = sample[mine] @ self.normals[t, node]
-                self.cuts[t, node] = np.median(along) if len(mine) else 0.0
-                where[mine] = 2 * node + 1 + (along > self.cuts[t, node])
-
-    def leaves(self, unit):
-        """Leaf of each unit vector in each tree: rows x trees."""
-        import numpy as np
+    rng = np.random.default_rng(seed)
+    n, dims = sample.shape
+    depth = max(0, min(12, int(np.log2(max(1, n / SAMPLE_LEAF)))))
+    inner = 2**depth - 1
+    normals, cuts = np.zeros((trees, inner, dims)), np.zeros((trees, inner))
+    for t in range(trees):
+        where = np.zeros(n, np.int64)
+        for node in range(inner):
+            mine = np.flatnonzero(where == node)
+            normal = rng.standard_normal(dims)
+            if len(mine) > 1:
+                a, b = sample[rng.choice(mine, 2, replace=False)]
+                if (a != b).any():
+                    normal = a - b
+            normals[t, node] = normal / np.linalg.norm(normal)
+            along = sample[mine] @ normals[t, node]
+            cuts[t, node] = np.median(along) if len(mine) else 0.0
+            where[mine] = 2 * node + 1 + (along > cuts[t, node])
+    return normals, cuts
+
+
+def leaves(model, unit):
+    """Leaf of each unit vector in each tree: rows x trees."""
+    import numpy as np
 
-        out = np.zeros((len(unit), len(self.cuts)), np.int32)
-        for t in range(len(self.cuts)):
-            node = np.zeros(len(unit), np.int64)
-            for _ in range(self.depth):
-                side = np.einsum("ij,ij->i", unit, self.normals[t, node]) > self.cuts[t, node]
-                node = 2 * node + 1 + side
-            out[:, t] = node - (2**self.depth - 1)
-        return out
-
-    def search(self, unit, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs for one query, nearest first, until they should hold ``share``."""
-        inner = 2**self.depth - 1
-        margins = self.normals @ unit - self.cuts
-        queue = [(0.0, t, 0) for t in range(len(self.cuts))]
-        taken, found, missing = [0] * len(self.cuts), [], 1.0
-        while queue and 1.0 - missing < share:
-            cost, t, node = heapq.heappop(queue)
-            while node < inner:
-                m = margins[t, node]
-                right = m > 0
-                heapq.heappush(queue, (max(cost, abs(m)), t, 2 * node + (1 if right else 2)))
-                node = 2 * node + (2 if right else 1)
-            found.append((t, node - inner))
-            missing *= (1 - (taken[t] + 1) / 2**self.depth) / (1 - taken[t] / 2**self.depth)
-            taken[t] += 1
-        return found
+    normals, cuts = model
+    inner = cuts.shape[1]
+    out = np.zeros((len(unit), len(cuts)), np.int32)
+    for t in range(len(cuts)):
+        node = np.zeros(len(unit), np.int64)
+        for _ in range((inner + 1).bit_length() - 1):
+            side = np.einsum("ij,ij->i", unit, normals[t, node]) > cuts[t, node]
+            node = 2 * node + 1 + side
+        out[:, t] = node - inner
+    return out
+
+
+def search(model, unit, share: float) -> list[tuple[int, int]]:
+    """(tree, leaf) pairs for one query, nearest first, until they should hold ``share`` of the rows."""
+    normals, cuts = model
+    inner = cuts.shape[1]
+    margins = normals @ unit - cuts
+    queue = [(0.0, t, 0) for t in range(len(cuts))]
+    taken, found, missing = [0] * len(cuts), [], 1.0
+    while queue and 1.0 - missing < share:
+        cost, t, node = heapq.heappop(queue)
+        while node < inner:
+            m = margins[t, node]
+            right = m > 0
+            heapq.heappush(queue, (max(cost, abs(m)), t, 2 * node + (1 if right else 2)))
+            node = 2 * node + (2 if right else 1)
+        found.append((t, node - inner))
+        missing *= (1 - (taken[t] + 1) / (inner + 1)) / (1 - taken[t] / (inner + 1))
+        taken[t] += 1
+    return found
+
+
+def searched_share(rows: int, factor: float = SEARCH_FACTOR, power: float = SEARCH_POWER) -> float:
+    return min(1.0, factor * max(rows, 1) ** (power - 1))
 
 
 def valid(vector: Column) -> Column:
@@ -96,107 +103,128 @@ def valid(vector: Column) -> Column:
 
 
 def _matrix(column):
-    """An Arrow list column as a matrix of doubles."""
+    """An Arrow list column of lists of one length as a matrix of doubles."""
     import numpy as np
 
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def scaled(x):
+    """Rows times the power of two that brings their largest component near 1: no square overflows or vanishes, no digit is lost."""
+    import numpy as np
+
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x):
+    import numpy as np
+
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def by_dimension(column) -> Iterator[tuple[int, list[int]]]:
+    """(dimension, places) of an Arrow list column."""
+    at: dict[int, list[int]] = {}
+    for i, n in enumerate(column.value_lengths().to_pylist()):
+        at.setdefault(n, []).append(i)
+    yield from at.items()
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES, share: float | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, nearest first.
 
     ``score`` is the cosine of the original vectors in double precision; ties go to the smaller
     id. A query's own id is no candidate; with fewer candidates than ``k`` all that are found
-    are returned. Vectors that are null, zero, or hold null or non-finite components take no
-    part, nor do those of another dimension than the commonest (ties: the smallest). Null ids
-    take no part. No rows give no rows; further columns are ignored.
+    are returned. ``share`` is that of all rows which a query's leaves should hold (by default it
+    falls with their number). Vectors that are null, zero, or hold null or non-finite components take no
+    part. Vectors of different dimensions are never near each other. An id with several vectors
+    asks with each, and is as near as its nearest. Null ids take no part. No rows give no rows; further columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & valid(F.col("v")))
     rows = staged(rows, "vectors")
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == dims["d"])
     first = Window.partitionBy("v").orderBy("vec_id")
     entries = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = staged(entries, "entries")
 
     import numpy as np
 
-    sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("v"), "ids").limit(sample_rows).select("v").collect()])  # bounded by sample_rows
-    forest = Forest(sample / np.linalg.norm(sample, axis=1, keepdims=True), trees, seed)
-    model = spark.sparkContext.broadcast(forest)  # trees x leaves x dimensions, bounded by sample_rows
+    models, shares = {}, {}
+    for r in entries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
+        chosen = entries.where(F.size("v") == r["d"]).orderBy(F.xxhash64("v"), "ids").limit(sample_rows).select("v").collect()  # bounded by sample_rows
+        models[r["d"]] = fitted(unit(np.array([x["v"] for x in chosen])), trees, seed)
+        shares[r["d"]] = searched_share(r["n"]) if share is None else share
+    model = spark.sparkContext.broadcast((models, shares))  # of each dimension trees x leaves x dimensions, bounded by sample_rows
 
     def index(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            ids, v = batch.columns
-            x = _matrix(v)
-            leaf = model.value.leaves(x / np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else np.zeros((0, trees), np.int32)
-            yield pa.RecordBatch.from_arrays([ids, v, pa.ListArray.from_arrays(np.arange(0, leaf.size + 1, trees, dtype=np.int32), leaf.ravel())], ["ids", "v", "leaves"])
+            for d, at in by_dimension(batch.column(1)):
+                ids, v = (c.take(pa.array(at, pa.int64())) for c in batch.columns)
+                leaf = leaves(model.value[0][d], unit(_matrix(v)))
+                yield pa.RecordBatch.from_arrays([ids, v, pa.ListArray.from_arrays(np.arange(0, leaf.size + 1, trees, dtype=np.int32), leaf.ravel())], ["ids", "v", "leaves"])
 
     def probe(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            ids, v = batch.columns
-            x = _matrix(v)
-            found = [model.value.search(q / np.linalg.norm(q), share) for q in x]
-            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), v.take(at), pa.array([t for f in found for t, _ in f], pa.int32()), pa.array([n for f in found for _, n in f], pa.int32())], ["ids", "v", "tree", "leaf"])
+            for d, places in by_dimension(batch.column(1)):
+                ids, v = (c.take(pa.array(places, pa.int64())) for c in batch.columns)
+                found = [search(model.value[0][d], q, model.value[1][d]) for q in unit(_matrix(v))]
+                at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(at), v.take(at), pa.array([t for f in found for t, _ in f], pa.int32()), pa.array([n for f in found for _, n in f], pa.int32())], ["ids", "v", "tree", "leaf"])
 
     indexed = Stage(entries.select("ids", "v").mapInArrow(index, "ids array<long>, v array<double>, leaves array<int>"), "indexed").df
-    points = indexed.select("ids", "v", F.posexplode("leaves").alias("tree", "leaf"))
-    queries = rows.where("asks").select(F.array("vec_id").alias("ids"), "v").mapInArrow(probe, "ids array<long>, v array<double>, tree int, leaf int")
-    crowded = {(r["tree"], r["leaf"]): -(-r["n"] // BLOCK) for r in points.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).collect()}  # leaves of the model at most
-    blocks = F.lit(1)
-    if crowded:
-        blocks = F.coalesce(F.create_map(*[F.lit(x) for (t, n), b in crowded.items() for x in (t << 16 | n, b)])[F.col("tree") * 65536 + F.col("leaf")], F.lit(1))
-    points = points.withColumn("block", F.pmod(F.xxhash64("ids"), blocks).cast("int")).withColumn("asks", F.lit(0))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(1))
-    names = ["tree", "leaf", "block", "asks", "ids", "v"]
-    cells = points.select(*names).unionByName(queries.select(*names)).repartition("tree", "leaf", "block").sortWithinPartitions("tree", "leaf", "block", "asks", "ids")
+    points = indexed.select("ids", "v", F.posexplode("leaves").alias("tree", "leaf")).withColumn("d", F.size("v"))
+    queries = rows.where("asks").select(F.array("vec_id").alias("ids"), "v").mapInArrow(probe, "ids array<long>, v array<double>, tree int, leaf int").withColumn("d", F.size("v"))
+    crowded = points.groupBy("d", "tree", "leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    crowded = F.broadcast(staged(crowded, "crowded"))  # leaves of the models at most
+    blocks = F.coalesce("blocks", F.lit(1))
+    names = ["d", "tree", "leaf", "block", "asks", "ids", "v"]
+    points = points.join(crowded, ["d", "tree", "leaf"], "left").withColumn("block", F.pmod(F.xxhash64("ids"), blocks).cast("int")).withColumn("asks", F.lit(0))
+    queries = queries.join(crowded, ["d", "tree", "leaf"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("asks", F.lit(1))
+    cells = points.select(*names).unionByName(queries.select(*names)).repartition("d", "tree", "leaf", "block").sortWithinPartitions("d", "tree", "leaf", "block", "asks", "ids")
 
     def rerank(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def meet(p: list, q: list) -> Iterator:
-            ids = [i for x in p for i in x[0]]
-            point = np.concatenate([x[1] for x in p])
-            size = np.linalg.norm(point, axis=1)
-            for asked, x in q:
-                scores = (x @ point.T) / (np.linalg.norm(x, axis=1)[:, None] * size)
-                best = np.argpartition(-scores, min(k + 1, len(ids) - 1), axis=1)[:, : k + 1]
-                limit = np.take_along_axis(scores, best, 1).min(axis=1)
-                out = []
-                for row, (own,) in enumerate(asked):
-                    near = np.flatnonzero(scores[row] >= limit[row])
-                    found = sorted((-scores[row, j], i) for j in near.tolist() for i in ids[j] if i != own)[:k]
-                    out += [(own, i, -s) for s, i in found]
-                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-        cell, held, asking = None, [], []
+        def meet(ids: list, point, size, asked: list, v) -> pa.RecordBatch:
+            x = scaled(v)
+            scores = (x @ point.T) / (np.linalg.norm(x, axis=1)[:, None] * size)
+            best = np.argpartition(-scores, min(k + 1, len(ids) - 1), axis=1)[:, : k + 1]
+            limit = np.take_along_axis(scores, best, 1).min(axis=1)
+            out = []
+            for row, (own,) in enumerate(asked):
+                near = np.flatnonzero(scores[row] >= limit[row])
+                found = sorted((-scores[row, j], i) for j in near.tolist() for i in ids[j] if i != own)[:k]
+                out += [(own, i, -s) for s, i in found]
+            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+        # a cell's points come before its queries, which then pass by one batch after another
+        cell, held, ready = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1).astype(np.int64)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(5)], axis=1).astype(np.int64)
             cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
-            vectors_, ids = _matrix(batch.column(5)), batch.column(4).to_pylist()
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
-                here = tuple(keys[a, :3])
-                if here != cell:
-                    if held and asking:
-                        yield from meet(held, asking)
-                    cell, held, asking = here, [], []
-                (asking if keys[a, 3] else held).append((ids[a:b], vectors_[a:b]))
-        if held and asking:
-            yield from meet(held, asking)
+                if tuple(keys[a, :4]) != cell:
+                    cell, held, ready = tuple(keys[a, :4]), [], None
+                part = batch.slice(a, b - a)
+                ids, v = part.column(5).to_pylist(), _matrix(part.column(6))
+                if not keys[a, 4]:
+                    held.append((ids, scaled(v)))
+                elif held:
+                    if ready is None:
+                        point = np.concatenate([x for _, x in held])
+                        ready = [i for x, _ in held for i in x], point, np.linalg.norm(point, axis=1)
+                    for at in range(0, len(ids), 256):
+                        yield meet(*ready, ids[at : at + 256], v[at : at + 256])
 
     found = cells.select(*names).mapInArrow(rerank, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

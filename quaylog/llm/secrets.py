@@ -2,7 +2,7 @@
 
 A BPE vocabulary holds the frequent strings of natural text and code, so ordinary runs take
 three or more characters to a token and random ones about two or less. Runs that are known
-digests or identifiers by their form, words, or for the most part repeats are left out before the test.
+digests or identifiers by their form, or for the most part repeats, are left out before the test.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Characters per token below which a run counts as random.
-RATIO = 2.1
+#: Characters per token below which a run counts as random, and below which one that has the form of words does:
+#: random letters have 1.7, words of natural languages 2.2 or more.
+RATIO, WORDS_RATIO = 2.1, 1.9
 UUID = re.compile(r"(?ai:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
 DIGEST = re.compile(r"(?ai:[0-9a-f]+)")
 #: Lengths in hex digits of common digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512). Fixed values.
@@ -37,6 +38,12 @@ REPEATED = re.compile(r"(.{1,8}?)\1{2,}")
 WORDS = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_]+(?:[A-Z]?[a-z]+|[A-Z]+))*")
 
 
+def _tokens_of(ranks_path: str | None):
+    """The encoder of a worker; the default vocabulary is the worker's own file."""
+    path = ranks_path or tokenizer_file("byte_bpe_50k.tiktoken")
+    return per_process(("ranks", path), lambda: load_tiktoken(path)).encode_ordinary
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the fixed patterns: leftmost, not overlapping within a kind."""
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
@@ -47,11 +54,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def known_form(run: str, before: str) -> bool:
-    """Whether a run is words, repeats for the most part, or an identifier or digest by its form or the label before it."""
+    """Whether a run is repeats for the most part, or an identifier or digest by its form or the label before it."""
     return bool(
         UUID.fullmatch(run)
         or run.isdigit()
-        or WORDS.fullmatch(run)
         or (DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS)
         or LABELLED.search(before)
         or 2 * sum(m.end() - m.start() for m in REPEATED.finditer(run)) > len(run)
@@ -67,8 +73,8 @@ def random_spans(text: str, tokens_of, taken: list[tuple[str, int, int]], ratio:
         run = m[0].strip("=-/_+")
         if len(run) < 20 or any(s < end and start < e for _, s, e in taken):
             continue
-        kinds = sum(any(c in k for c in run) for k in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-        if kinds >= 2 and not known_form(run, text[max(0, start - 24) : start]) and len(run) < ratio * len(tokens_of(run)):
+        limit = min(ratio, WORDS_RATIO) if WORDS.fullmatch(run) else ratio
+        if not known_form(run, text[max(0, start - 24) : start]) and len(run) < limit * len(tokens_of(run)):
             at = text.index(run, start)
             out.append(("random", at, at + len(run)))
     return out
@@ -85,12 +91,11 @@ def scan(docs: DataFrame, ratio: float = RATIO, ranks_path: str | None = None, i
     without spans has empty ``spans`` and the hash of the empty string. Repeated rows get a row
     each; no rows give no rows; further columns are ignored.
     """
-    ranks_path = ranks_path or tokenizer_file("byte_bpe_50k.tiktoken")
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tokens_of = per_process(("ranks", ranks_path), lambda: load_tiktoken(ranks_path)).encode_ordinary
+        tokens_of = _tokens_of(ranks_path)
         for batch in batches:
             ids, texts = batch.columns
             counts: dict[str, list] = {k: [] for k in KINDS}
@@ -115,12 +120,14 @@ def scan(docs: DataFrame, ratio: float = RATIO, ranks_path: str | None = None, i
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", ratio: float = RATIO, ranks_path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span, overlapping ones as one, replaced by ``mask``; null texts stay null."""
-    ranks_path = ranks_path or tokenizer_file("byte_bpe_50k.tiktoken")
+    """``docs`` with every span, overlapping ones as one, replaced by ``mask``; null texts stay null.
+
+    Each row by its text alone; no rows give no rows; further columns stay as they are.
+    """
 
     @F.pandas_udf("string")
     def clean(texts):
-        tokens_of = per_process(("ranks", ranks_path), lambda: load_tiktoken(ranks_path)).encode_ordinary
+        tokens_of = _tokens_of(ranks_path)
 
         def one(text):
             if text is None:

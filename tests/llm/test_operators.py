@@ -287,6 +287,39 @@ def test_toxicity_learns_and_spares(spark):
     assert scores[1] == scores[3] > 0.7 > scores[2]
 
 
+def test_matcher_against_plain_search():
+    rng = random.Random(10)
+    words = ["ab", "abc", "b", "ca", "bca", "c"]
+    for _ in range(300):
+        terms = {f" {rng.choice(words)}{rng.choice(words)}{rng.choice(['', ' '])}": rng.random() for _ in range(6)}
+        spared = tuple(f" {rng.choice(words)}{rng.choice(words)} {rng.choice(words)} " for _ in range(3))
+        spared = tuple(x for x in spared if x not in terms)
+        folded = f" {' '.join(''.join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(rng.randrange(30)))} "
+        places = lambda x: [i for i in range(len(folded)) if folded.startswith(x, i)]
+        gaps = [(a, a + len(x)) for x in spared for a in places(x)]
+        hit = {x for x in terms if any(not any(a <= i and i + len(x) <= b for a, b in gaps) for i in places(x))}
+        want = sum(terms[x] for x in hit) / toxicity.length_norm(folded.count(" "))
+        assert abs(toxicity.Matcher(toxicity.Lexicon(terms, spared)).raw_of(folded) - want) < 1e-9
+
+
+def test_training_counts_against_plain_ones(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}q" for _ in range(200)) for _ in range(30)]
+    line = "this licence line of ten words is in all texts here "
+    rows = [(i, line + t, "s") for i, t in enumerate(base)] + [(100 + i, line + t + " end", "s") for i, t in enumerate(base[:10])] + [(5, line + base[5], "s"), (None, "no", "s"), (77, None, "s"), (78, "", "s")]
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in [*range(30), *range(100, 110), 200]] + [(77, 1, "x"), (78, 1, "x"), (None, 1, "x"), (3, 0, "x")], "doc_id long, toxic int, text string")
+    training = corners(spark, rows).select("doc_id", "text").join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    table = toxicity._training_table(training).df
+    # copies of one label are one text: of 30 texts ten have a near copy of the same label
+    want = {(i % 2, toxicity.fold(line + t)) for i, t in enumerate(base)} | {(1, "  ")}
+    got = [(r["toxic"], r["folded"]) for r in table.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    counts = {r["word"]: (r["toxic"], r["clean"]) for r in toxicity._word_counts(table).collect()}
+    for word in ("iicence", "wabq", *base[0].split()[:3]):
+        plain = [sum(k == kind and word in f.split() for k, f in want) for kind in (1, 0)]
+        assert counts.get(word, (0, 0)) == tuple(plain)
+
+
 def test_toxicity_corners(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.label_and_score(corners(spark), labels).collect()
@@ -322,18 +355,91 @@ def test_known_forms():
 def test_chance_repeats_and_letters_hide_no_secret():
     encode = tokens.load_tiktoken(tokens.tokenizer_file("byte_bpe_50k.tiktoken")).encode_ordinary
     rng = random.Random(4)
-    for signs, size in (("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 1000), ("ABCDEF0123456789", 48), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 32)):
+    for signs, size in (("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 1000), ("ABCDEF0123456789", 48), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 32), ("ZYXWVUTSRQPONMLKJIHGFEDCBA", 64)):
         for _ in range(100):
             key = "".join(rng.choice(signs[:-2] if i in (0, size - 1) else signs) for i in range(size))
-            key = f"{key[:7]}aaa{key[10:]}" if "a" in signs else f"{key[:7]}000{key[10:]}"
+            key = f"{key[:7]}aaa{key[10:]}" if "a" in signs else f"{key[:7]}000{key[10:]}" if "0" in signs else key
             assert secrets.random_spans(f"key {key} end", encode, []) == [("random", 4, 4 + size)]
     for run in ("getUserNameFromDatabase", "Some-words_in_UPPER_and-lower", "Aa1Aa1Aa1Aa1Aa1Aa1Aa1Aa1", "XMLHttpRequestEventTarget", "=" * 40, "0000000000000000000000x1"):
         assert secrets.random_spans(f"id {run} end", encode, []) == []
 
 
+def test_base_spans_against_plain_patterns(spark):
+    import re
+
+    rng = random.Random(9)
+    parts = ["password", "Secret", "API_KEY", "apikey", "token", "AKIA", ":", "=", " ", '"', "'", "\t", "abcdef01", "f" * 31, "g", "A" * 12, "é", ".", "x=", "ſecret", "toKen"]
+    assign = re.compile("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    texts += ["f0" * 60_000, "password=" * 20_000, ("AKIA" + "Z" * 12) * 5000]
+    for text in texts:
+        want = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 16]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 32]
+        assert sorted(secrets.base_spans(text)) == sorted(want)
+    key = "token=" + "q8Zr2Lx0Vb"
+    rows = corners(spark, [(1, key, "s"), (1, key, "s"), (None, "x " * 500_000 + key, "s")])
+    assert sorted((str(r["doc_id"]), r["n_assign"]) for r in secrets.scan(rows).collect()) == [("1", 1), ("1", 1), ("None", 1)]
+    assert secrets.scan(rows.where("false")).count() == 0 and secrets.redact(rows.where("false")).count() == 0
+
+
 # decontamination
 
 
+def brute_overlaps(doc, item):
+    """Whether any alignment holds an overlap of enough words, 0.8 of them equal."""
+    need = min(12, len(item))
+    for shift in range(-len(item) + 1, len(doc)):
+        same = [doc[i + shift] == w if 0 <= i + shift < len(doc) else None for i, w in enumerate(item)]
+        for i in range(len(same)):
+            for j in range(i + need, len(same) + 1):
+                part = same[i:j]
+                if None not in part and 5 * sum(part) >= 4 * len(part):
+                    return True
+    return False
+
+
+def test_overlaps_against_all_alignments(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([6, 9, 14, 30])))) for i in range(12)]
+    rows = []
+    for n in range(160):
+        body = [rng.choice(words) for _ in range(rng.randrange(25))]
+        item = rng.choice(items)[1].split()
+        a = rng.randrange(len(item))
+        part = [w if rng.random() > 0.12 else "other" for w in item[a : a + rng.randrange(5, 30)]]
+        at = rng.randrange(len(body) + 1)
+        rows.append((n if n % 9 else None, " ".join(body[:at] + part + body[at:]), "s"))
+    rows += [rows[3], rows[3], (7, None, "s"), (7, "", "s"), (8, "w1 " * 20_000, "s")]
+    given = items + [items[2], (None, items[3][1]), (50, None), (51, "")]
+    df, t = corners(spark, rows), spark.createDataFrame([(*x, "z") for x in given], "item_id long, text string, doc_id string")
+    got = [collections.Counter(map(str, spaced_seeds.overlaps(df, t, broadcast_seeds=n).collect())) for n in (0, 10**6)]
+    assert got[0] == got[1]
+    found = {(r["doc_id"], r["item_id"]) for r in spaced_seeds.overlaps(df, t).collect()}
+    want, hit = 0, 0
+    for i, text, _ in rows[:160]:
+        for j, item in items:
+            held = brute_overlaps(text.split(), item.split())
+            want += held
+            hit += held and (i, j) in found
+            # a null id stands for several texts
+            assert held or i is None or (i, j) not in found, (i, j)
+    assert want > 15 and hit >= 0.95 * want
+    kept = [sorted(map(str, spaced_seeds.without_items(df, t, broadcast_seeds=n).collect())) for n in (0, 10**6)]
+    assert kept[0] == kept[1] and spaced_seeds.without_items(df, t).columns == df.columns
+    bad = [text for _, text, _ in rows if any(brute_overlaps((text or "").split()[:100], x.split()) for _, x in items)]
+    assert len(rows) - len(kept[0]) >= 0.9 * len(bad) and sum("None, 'text'" in k for k in kept[0]) == 0
+
+
+def test_words_of_all_scripts():
+    same = lambda a, b: spaced_seeds.word_hashes(a).tolist() == spaced_seeds.word_hashes(b).tolist()
+    assert same("«Zwei – Wörter» don’t", "zwei wörter don t") and same("a\u00a0b…c", "A B C") and not same("º", "")
+    assert same("日本語の文章。x", "日 本 語 の 文 章 x") and len(spaced_seeds.word_hashes("ภาษาไทย ab日c")) == 10
+    for text in ("é", "日", "x日", "日x", "", " ", "。", "a。b"):
+        assert len(spaced_seeds.word_hashes(text)) == len(text.replace("。", " ").replace("x日", "x 日").replace("日x", "日 x").split())
+
+
 def test_overlaps(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(300)]
@@ -529,5 +635,41 @@ def test_neighbours(spark):
         hit += len({f[1] for f in found} & set(np.lexsort((np.arange(600), -s.round(12)))[:5].tolist()))
     assert hit >= 0.9 * 5 * len(got)
     assert [f[1] for f in got[300]] == [7, 301, 302, 303, 304]
+    assert 1150 not in got
     assert rp_forest.nearest(df.where("false"), F.lit(True)).count() == 0
     assert rp_forest.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+
+
+def test_neighbours_at_any_scale_and_dimension(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 8))
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, np.resize([1.0, 1e200, 1e-200, 1e300, 1e-300], 40), strict=True))]
+    rows += [(100 + i, rng.standard_normal(3).tolist()) for i in range(4)] + [(1, base[2].tolist()), (None, base[3].tolist()), (200, [5e-324] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in rp_forest.nearest(df, F.col("vec_id") % 50 == 0, share=1.0).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    unit = rp_forest.unit(base)
+    want = unit @ unit[0]
+    want[1] = max(want[1], want[2])
+    order = [i for i in np.argsort(-want, kind="stable").tolist() if i][:5]
+    assert set(got) == {0, 100, 200} and set(got[100]) == {101, 102, 103}
+    assert [i for i in got[0] if i < 40] and all(abs(got[0][i] - want[i]) < 1e-12 for i in order if i in got[0]) and len(set(order) & set(got[0])) >= 4
+    assert all(-1 - 1e-12 <= s <= 1 + 1e-12 for x in got.values() for s in x.values())
+
+
+def test_forest_finds_neighbours_of_clusters_in_few_leaves():
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((60, 32))
+    x = rp_forest.unit(centres[rng.integers(0, 60, 4000)] + 0.15 * rng.standard_normal((4000, 32)))
+    model = rp_forest.fitted(x, 16, 3)
+    leaf, hit, seen = rp_forest.leaves(model, x), 0, 0
+    for q in range(0, 4000, 100):
+        scores = x @ x[q]
+        scores[q] = -9
+        near = np.argsort(-scores)[:5]
+        mask = np.zeros(4000, bool)
+        for t, n in rp_forest.search(model, x[q], 0.05):
+            mask |= leaf[:, t] == n
+        hit, seen = hit + mask[near].sum(), seen + mask.sum()
+    assert hit >= 0.9 * 5 * 40 and seen < 0.06 * 4000 * 40
