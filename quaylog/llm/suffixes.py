@@ -417,9 +417,10 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
 
     names = Stage(_compare(_send(chunks.select("chunk", "lengths", "body"), levels, window, bases), levels[0]), "names")
     release(spark)
-    # a repeated stretch has a candidate at each byte and kept tuples in the cover's share of them
+    # a repeated stretch has a candidate at each byte and kept tuples in the cover's share of them, a tuple alone
+    # has a period's candidates: a third of that is between
     kept = names.df.agg(F.sum("found")).first()[0] or 0
-    levels.append(Level(1, min(total, kept * period // len(cover)), 8 if total > WIDE_FROM else 2, least_tasks))
+    levels.append(Level(1, min(total, kept * max(1, period // 3)), 8 if total > WIDE_FROM else 2, least_tasks))
     windows = Stage(_compare(_send(with_hits(names.df, "inner"), levels, window, bases), levels[1]), "windows")
     release(spark)
     found = Stage(_digests(with_hits(names.df.unionByName(windows.df), "left"), levels, window, bases).dropDuplicates(["digest"]), "removed")
