@@ -12,28 +12,57 @@ from .filters import COMPLETIONS, STARTS
 METRICS = ("cpu", "duration", "reads", "writes")
 
 
-def pair_executions(events: DataFrame) -> DataFrame:
+#: Sequence numbers of one stretch of a session; as they count events, a stretch has no more rows.
+STRETCH = 1 << 17
+
+
+def _carried(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with what ``carry`` has for their keys, null keys included."""
+    named = carry.withColumnsRenamed({k: f"{k}_of_carry" for k in keys})
+    on = [rows[k].eqNullSafe(named[f"{k}_of_carry"]) for k in keys]
+    return rows.join(named, on).drop(*(f"{k}_of_carry" for k in keys))
+
+
+def pair_executions(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """One row per starting event, with the metrics and text of its completion.
 
     A completion belongs to the latest earlier start of its session that is still open; with no
     duration, or none but zero, it leaves that start open. Completions without an open start
     are dropped, and starts without a completion keep null metrics.
 
-    The stack is found without state: its depth is a running sum with a floor, events at
-    one depth alternate, and all windows share one shuffle by session.
+    The stack is found without state: its depth is a running sum with a floor, and events at
+    one depth alternate. Sums, floors and counts of one ``stretch`` of sequence numbers are carried to
+    the next, so that a session of any length is spread over tasks; only the table of
+    stretches is ordered by session.
     """
-    session = Window.partitionBy("session_id").orderBy("event_sequence")
-    running = session.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     start, closing = F.col("event_type").isin(*STARTS), F.coalesce("duration", F.lit(0)) != 0
     d = events.where(F.col("event_type").isin(*STARTS, *COMPLETIONS)).withColumn("_start", start)
-    d = d.withColumn("_step", F.when(start, 1).when(closing, -1).otherwise(0)).withColumn("_sum", F.sum("_step").over(running))
-    d = d.withColumn("_floor", F.least(F.min("_sum").over(running), F.lit(0)))
-    d = d.withColumn("_before", F.coalesce(F.lag("_floor").over(session), F.lit(0)))
+    d = d.withColumn("_step", F.when(start, 1).when(closing, -1).otherwise(0))
+    d = d.withColumn("_stretch", F.coalesce(F.floor(F.col("event_sequence") / F.lit(stretch)).cast("long"), F.lit(-(1 << 63))))
+    inside = Window.partitionBy("session_id", "_stretch").orderBy("event_sequence")
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_sum", F.sum("_step").over(running)).withColumn("_least", F.min("_sum").over(running))
+
+    zero = F.lit(0).cast("long")
+    earlier = Window.partitionBy("session_id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    whole = d.groupBy("session_id", "_stretch").agg(F.sum("_step").alias("_sum"), F.min("_sum").alias("_least"))
+    carry = whole.withColumn("_sum_before", F.coalesce(F.sum("_sum").over(earlier), zero)).withColumn("_least", F.col("_sum_before") + F.col("_least"))
+    carry = carry.select("session_id", "_stretch", "_sum_before", F.least(F.coalesce(F.min("_least").over(earlier), zero), zero).alias("_floor_before"))
+    d = _carried(d, carry, ["session_id", "_stretch"])
+
+    d = d.withColumn("_sum", F.col("_sum_before") + F.col("_sum")).withColumn("_floor", F.least("_floor_before", F.col("_sum_before") + F.col("_least")))
+    d = d.withColumn("_before", F.coalesce(F.lag("_floor").over(inside), "_floor_before"))
     level = F.col("_sum") - F.col("_floor")
     orphan = (F.col("_step") == -1) & (F.col("_floor") < F.col("_before"))
     d = d.withColumn("_level", F.when(orphan, 0).when(F.col("_step") == -1, level + 1).otherwise(level)).where("_level > 0")
-    at_level = Window.partitionBy("session_id", "_level").orderBy("event_sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("_group", F.sum(F.col("_start").cast("int")).over(at_level))
+    at_level = Window.partitionBy("session_id", "_stretch", "_level").orderBy("event_sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_group", F.sum(F.col("_start").cast("long")).over(at_level))
+
+    starts = d.groupBy("session_id", "_stretch", "_level").agg(F.sum(F.col("_start").cast("long")).alias("_starts"))
+    earlier = Window.partitionBy("session_id", "_level").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select("session_id", "_stretch", "_level", F.coalesce(F.sum("_starts").over(earlier), zero).alias("_starts_before"))
+    d = _carried(d, starts, ["session_id", "_stretch", "_level"]).withColumn("_group", F.col("_starts_before") + F.col("_group"))
+
     names = [c for c in events.columns if c not in ("session_id", "sql_text", *METRICS)]
     first = F.min_by(F.struct(*names, "sql_text"), F.when(F.col("_start"), F.col("event_sequence")))
     last = F.max_by(F.struct("sql_text", *METRICS), F.when(~F.col("_start"), F.col("event_sequence")))

@@ -129,7 +129,7 @@ def ordered_events(events: DataFrame) -> DataFrame:
 
 
 def top_waits(waits: DataFrame, n: int | None = None) -> DataFrame:
-    ordered = waits.orderBy(F.desc("wait_sec"), "wait_type")
+    ordered = waits.orderBy(F.desc("wait_sec"), "wait_type", *(c for c in ("snapshot_no", "interval_id") if c in waits.columns))
     return ordered.limit(n) if n else ordered
 
 

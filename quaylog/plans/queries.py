@@ -117,24 +117,29 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _CAP_COLUMNS = ", ".join(adapter.CAPTURE)
 
 
-@_query("read_capture", _with(f"SELECT {_CAP_COLUMNS} FROM cap"))
-def _(s, d):
-    return events(s, d)
-
-
 @_query("filter_events", _with(f"SELECT {_CAP_COLUMNS} FROM cap WHERE lower(client_app_name) IN ('app_click', 'app_view') AND (lower(database_name) NOT IN ('db_1') OR database_name IS NULL)"))
 def _(s, d):
     return filters.filter_events(events(s, d), app=["APP_click", "app_view", "^app_error"], db=["^DB_1"])
 
 
-@_query("filter_event_types", _with("SELECT event_type, count(*) AS n FROM cap WHERE event_type IN (1, 2, 3, -3) GROUP BY 1"))
+# kinds -3 to 9 by sequence, those that the adapter lacks among them
+_KIND = "CASE WHEN event_sequence % 7 < 3 THEN event_type ELSE (event_sequence % 13) - 3 END"
+
+
+@_query("filter_event_types", _with(f"SELECT kind, count(*) AS n FROM (SELECT {_KIND} AS kind FROM cap) WHERE kind IN (-3, 0, 1, 2, 3, 4, 5, 6, 7, 8) GROUP BY 1"))
 def _(s, d):
-    return filters.filter_event_types(events(s, d)).groupBy("event_type").agg(F.count("*").alias("n"))
+    kinds = events(s, d).withColumn("event_type", F.expr(_KIND).cast("int"))
+    return filters.filter_event_types(kinds).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
-@_query("skip_internal", "SELECT doc_id FROM documents WHERE NOT (coalesce(text, '') = '' OR contains(text, 'sp_cursor ') OR contains(text, 'sp_cursorfetch ') OR contains(text, 'ALTER EVENT SESSION') OR starts_with(text, 'KILL') OR starts_with(text, 'insert bulk'))")
+# a skipped part after each statement, before it, or none, by sequence
+_PARTS = (*filters.SKIPPED_PARTS, *filters.SKIPPED_STARTS)
+_SPOILED = f"CASE event_sequence % 23 {' '.join(f"WHEN {i} THEN sql_text || ' {x}x'" for i, x in enumerate(_PARTS))} WHEN 20 THEN '' WHEN 21 THEN 'KILL 5' WHEN 22 THEN 'insert bulk t' ELSE sql_text END"
+
+
+@_query("skip_internal", _with(f"""SELECT event_sequence FROM (SELECT event_sequence, {_SPOILED} AS t FROM cap) WHERE t <> '' AND NOT ({' OR '.join(f"contains(t, '{x}')" for x in filters.SKIPPED_PARTS)} OR starts_with(t, 'KILL') OR starts_with(t, 'insert bulk'))"""))
 def _(s, d):
-    return filters.skip_internal(s.read.parquet(f"{d}/documents.parquet").withColumn("sql_text", F.col("text"))).select("doc_id")
+    return filters.skip_internal(events(s, d).withColumn("sql_text", F.expr(_SPOILED))).select("event_sequence")
 
 
 @_query("drop_empty_executions", _with("SELECT count(*) AS n FROM cap WHERE length(sql_text) > 0"))
@@ -298,7 +303,7 @@ def _(s, d):
     return analysis.execution_errors(_errors(s, d), MINUTES)
 
 
-@_query("stream_intervals", _with("SELECT * FROM intervals", _ALL))
+@_query("intervals", _with("SELECT * FROM intervals", _ALL))
 def _(s, d):
     return _analysis(s, d)[1]
 
@@ -498,9 +503,10 @@ def _(s, d):
     return metrics.wait_deltas(_snapshots(s, d))
 
 
-@_query("filter_waits", _with("SELECT * FROM snaps WHERE wait_count > 0 AND wait_sec > 0", _SNAP))
+@_query("filter_waits", _with("SELECT * REPLACE (CASE WHEN snapshot_no % 3 = 0 AND wait_type <> 'CXPACKET' THEN 'LAZYWRITER_SLEEP' ELSE wait_type END AS wait_type) FROM snaps WHERE wait_count > 0 AND wait_sec > 0 AND NOT (snapshot_no % 3 = 0 AND wait_type <> 'CXPACKET')", _SNAP))
 def _(s, d):
-    return filters.filter_waits(_snapshots(s, d))
+    idle = F.when((F.col("snapshot_no") % 3 == 0) & (F.col("wait_type") != "CXPACKET"), "LAZYWRITER_SLEEP").otherwise(F.col("wait_type"))
+    return filters.filter_waits(_snapshots(s, d).withColumn("wait_type", idle))
 
 
 @_query("wait_stats", _with("SELECT snapshot_no // 7 AS interval_id, wait_type, sum(wait_sec)::BIGINT AS wait_sec, sum(resource_sec)::BIGINT AS resource_sec, sum(signal_sec)::BIGINT AS signal_sec, sum(wait_count)::BIGINT AS wait_count FROM deltas GROUP BY 1, 2", _SNAP))
@@ -510,7 +516,7 @@ def _(s, d):
 
 @_query("top_waits", _with("SELECT * FROM deltas ORDER BY wait_sec DESC, wait_type, snapshot_no LIMIT 5", _SNAP))
 def _(s, d):
-    return metrics.wait_deltas(_snapshots(s, d)).orderBy(F.desc("wait_sec"), "wait_type", "snapshot_no").limit(5)
+    return report.top_waits(metrics.wait_deltas(_snapshots(s, d)), 5)
 
 
 @_query("waits_snapshot", _with("SELECT wait_type, round(max(wait_sec)::DECIMAL(20, 0) / 1000, 2)::DECIMAL(16, 2) AS wait_sec, round(max(resource_sec)::DECIMAL(20, 0) / 1000, 2)::DECIMAL(16, 2) AS resource_sec, round(max(signal_sec)::DECIMAL(20, 0) / 1000, 2)::DECIMAL(16, 2) AS signal_sec, max(wait_count) AS wait_count FROM snaps GROUP BY 1 HAVING max(wait_sec) >= 5", _SNAP))
@@ -642,9 +648,37 @@ def _(s, d):
     return parsers.parse_trace(trace_rows(events(s, d)))
 
 
-@_query("convert_capture", _with(f"SELECT {_CAP_COLUMNS} FROM cap WHERE lower(client_app_name) = 'app_click'"))
+_ONE_IN = "event_sequence % 10 = 0"
+
+
+def _xe(name, *fields):
+    """An XML event of one kind; fields are (kind, key, value)."""
+    nodes = [F.coalesce(F.concat(F.lit(f'<{kind} name="{key}"><value>'), value.cast("string"), F.lit(f"</value></{kind}>")), F.lit("")) for kind, key, value in fields]
+    return F.concat(F.lit(f'<event name="{name}" timestamp="'), F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z">'), *nodes, F.lit("</event>"))
+
+
+@_query("reset_login_text", _with(f"SELECT event_sequence, 2 AS event_type, '{parsers.NONPOOLED}' AS sql_text FROM cap WHERE {_ONE_IN} AND session_id % 2 = 1"))
+def _(s, d):
+    """Logins: those from a pool are no events, others reset their connection."""
+    login = _xe("login", ("data", "is_cached", F.when(F.col("session_id") % 2 == 0, "true").otherwise("false")), ("action", "event_sequence", F.col("event_sequence")))
+    return parsers.parse_xe(events(s, d).where(_ONE_IN).select(login.alias("event_data"))).select("event_sequence", "event_type", "sql_text")
+
+
+@_query("user_error_events", _with(f"""SELECT event_sequence, CASE WHEN session_id % 3 = 0 THEN 7 ELSE 5 END AS event_type, client_host_name AS sql_text, CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id * 1000000 END::BIGINT AS cpu,
+   CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id * 1000000 END::BIGINT AS duration FROM cap WHERE {_ONE_IN} AND session_id % 3 < 2"""))
+def _(s, d):
+    """User events: errors, timeouts of the capture tool, and timeouts of other tools, which go."""
+    third, session = F.col("session_id") % 3, F.col("session_id").cast("string")
+    mark = F.when(third == 1, F.concat(F.lit(parsers.TOOL_PREFIX + "Timeout["), session, F.lit("]"))).when(third == 2, F.concat(F.lit("other "), session))
+    event = _xe("user_event", ("data", "event_id", F.when(third == 0, parsers.ERROR_EVENT).otherwise(parsers.TIMEOUT_EVENT)), ("data", "user_info", mark), ("data", "user_data", F.col("client_host_name")), ("action", "event_sequence", F.col("event_sequence")))
+    return parsers.parse_xe(events(s, d).where(_ONE_IN).select(event.alias("event_data"))).select("event_sequence", "event_type", "sql_text", "cpu", "duration")
+
+
+@_query("with_ids", _with("""SELECT coalesce(i.id, -1) AS client_app_name_id, count(*) AS n FROM cap LEFT JOIN (SELECT row_number() OVER (ORDER BY f.a, f.b, name) - 1 AS id, name FROM (SELECT client_app_name AS name, min({'a': start_time, 'b': event_sequence}) AS f FROM cap WHERE client_app_name IS NOT NULL GROUP BY 1) x) i
+   ON i.name = cap.client_app_name GROUP BY 1"""))
 def _(s, d):
-    return filters.filter_events(parsers.parse_xe(xe_documents(events(s, d))), app=["app_click"])
+    e = events(s, d)
+    return analysis.with_ids(e, analysis.assign_dictionary(e, "client_app_name"), "client_app_name").groupBy("client_app_name_id").agg(F.count("*").alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

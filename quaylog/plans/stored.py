@@ -47,6 +47,30 @@ def _(s, d):
     return stores.read_capture(s, path)["events"].select(*plans.adapter.CAPTURE)
 
 
+_CHILD = "event_sequence % 50 = 0"
+
+
+@_query("read_capture", _with(f"""SELECT {_CAP_COLUMNS}, CASE WHEN {_CHILD} THEN session_id::DOUBLE END AS cpu_counter, CASE WHEN {_CHILD} THEN 2 END AS waits, CASE WHEN {_CHILD} THEN 'WAIT_' || session_id END AS first_wait,
+   CASE WHEN {_CHILD} THEN session_id * 3 END::BIGINT AS disk_reads FROM cap"""))
+def _(s, d):
+    """A capture with counters, waits and disk rows of some events, written and read."""
+    path, e = scratch(s, "capture"), plans.events(s, d).withColumn("row_id", F.col("event_sequence"))
+    some = e.where(_CHILD)
+    counters = some.select("row_id", F.explode(F.array(F.lit("AVG_CPU_USAGE"), F.lit("OTHER"))).alias("name"), F.col("session_id").cast("double").alias("value"))
+    waits = some.select("row_id", F.explode(F.array(F.lit("WAIT_"), F.lit("X_"))).alias("kind"), "session_id").select("row_id", F.concat("kind", "session_id").alias("wait_type"))
+    stores.write_capture({"events": e, "counters": counters, "waits": waits, "disk_perf": some.select("row_id", (F.col("session_id") * 3).cast("long").alias("reads"))}, path)
+    back = stores.read_capture(s, path)["events"]
+    return back.select(*plans.adapter.CAPTURE, F.col("counters")["AVG_CPU_USAGE"].alias("cpu_counter"), F.when(F.col("waits").isNotNull(), F.size("waits")).alias("waits"), F.col("waits")[0]["wait_type"].alias("first_wait"), F.col("disk_perf")[0]["reads"].alias("disk_reads"))
+
+
+@_query("convert_capture", _with(f"SELECT {_CAP_COLUMNS} FROM cap WHERE lower(client_app_name) = 'app_click'"))
+def _(s, d):
+    """XML of the events as a capture, filtered by application, and read back."""
+    path = scratch(s, "converted")
+    stores.convert_capture(plans.xe_documents(plans.events(s, d)), path, "xe", app=["app_click"])
+    return stores.read_capture(s, path)["events"].select(*plans.adapter.CAPTURE)
+
+
 @_query("read_analysis", _with("SELECT (SELECT count(*) FROM intervals WHERE duration_minutes > 0) AS real_intervals, (SELECT min_by(end_time, interval_id) FROM intervals) AS first_end", plans._ALL))
 def _(s, d):
     root, details = scratch(s, "analysis"), plans._analysis(s, d)[0]
@@ -56,10 +80,11 @@ def _(s, d):
     return stores.analysis_facts(stores.read_analysis(s, root, "w"))
 
 
-@_query("check_format", _with("SELECT true AS accepted, count(*) AS total FROM cap"))
+@_query("check_format", _with("SELECT true AS accepted, false AS without_sequence, false AS without_session, count(*) AS total FROM cap"))
 def _(s, d):
     trace = plans.trace_rows(plans.events(s, d))
-    return trace.agg(F.lit(parsers.check_trace_format(trace)).alias("accepted"), F.count("*").alias("total"))
+    without = {c: parsers.check_trace_format(trace.withColumn(c, F.lit(None).cast("long"))) for c in ("EventSequence", "SPID")}
+    return trace.agg(F.lit(parsers.check_trace_format(trace)).alias("accepted"), F.lit(without["EventSequence"]).alias("without_sequence"), F.lit(without["SPID"]).alias("without_session"), F.count("*").alias("total"))
 
 
 @_query("stream_dedup_resume", _with(f"SELECT {_CAP_COLUMNS} FROM cap"))
@@ -88,6 +113,32 @@ def _(s, d):
     return _local(s.read.schema(details.schema).parquet(path))
 
 
+_CLOSED = f"""closed AS (SELECT * FROM (SELECT {plans._HASH.format('template')} AS sql_hash, client_app_name AS application, database_name AS database, client_host_name AS host, server_principal_name AS login,
+   {_MEASURES}, count(*) AS execution_count, date_trunc('hour', start_time) + INTERVAL 1 HOUR AS interval_end FROM (SELECT *, {plans._TEMPLATE} AS template FROM cap WHERE length(sql_text) > 0) WHERE template IS NOT NULL GROUP BY ALL)
+   WHERE interval_end <= (SELECT max(start_time) FROM cap) - INTERVAL 2 HOUR)"""
+
+
+@_query("write_details", _with(f"SELECT *, {plans._SECOND.format('interval_end')} AS interval_id FROM closed", _CLOSED))
+def _(s, d):
+    """Intervals that are closed when all events have come, each once though all its batches run twice."""
+    root = scratch(s, "closed")
+    details = jobs.details_by_window(_stream(s, d), plans.MINUTES, "2 hours")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        for _ in range(2):
+            jobs.save_details(batch, number, root, "w")
+
+    details.writeStream.outputMode("append").option("checkpointLocation", f"{root}-checkpoint").foreachBatch(twice).trigger(**NOW).start().awaitTermination()
+    return _local(jobs.read_details(s, root, "w", plans.MINUTES)[0])
+
+
+@_query("stream_intervals", _with(f"SELECT interval_id, {plans._AT.format('interval_id')} AS end_time, duration_minutes FROM (SELECT DISTINCT {plans._SECOND.format('interval_end')} AS interval_id, {plans.MINUTES} AS duration_minutes FROM closed UNION ALL SELECT min({plans._SECOND.format('interval_end')}) - {plans.MINUTES * 60 + 1}, 0 FROM closed HAVING count(*) > 0)", _CLOSED))
+def _(s, d):
+    root = scratch(s, "closed")
+    jobs.write_details(jobs.details_by_window(_stream(s, d), plans.MINUTES, "2 hours"), root, "w", f"{root}-checkpoint", **NOW).awaitTermination()
+    return jobs.read_details(s, root, "w", plans.MINUTES)[1]
+
+
 @_query("stream_summary", _with(plans._SUMMED.format("").replace("FROM execs", "FROM cap")))
 def _(s, d):
     path = scratch(s, "summary")

@@ -24,12 +24,23 @@ def _table(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_capture(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a capture; events have their counters as a map. No order is imposed."""
+    """The tables of a capture. No order is imposed.
+
+    Events have their counters as a map (of one name the largest), and their waits and disk rows
+    as arrays; null where an event has none.
+    """
     found = {t: df for t in CAPTURE_TABLES if (df := _table(spark, f"{path}/{t}")) is not None}
+    events = found.get("events")
     if "counters" in found:
-        maps = found["counters"].groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("counters"))
-        found["events"] = found["events"].join(maps, "row_id", "left")
-    return found
+        once = found["counters"].groupBy("row_id", "name").agg(F.max("value").alias("value"))
+        maps = once.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("counters"))
+        events = events.join(maps, "row_id", "left")
+    for name in ("waits", "disk_perf"):
+        if name in found:
+            columns = [c for c in found[name].columns if c != "row_id"]
+            lists = found[name].groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+            events = events.join(lists, "row_id", "left")
+    return found | ({"events": events} if events is not None else {})
 
 
 def write_capture(dfs: dict[str, DataFrame], path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quaylog.functions import sql_text
+from quaylog.functions import clock, sql_text
 from quaylog.operators import analysis, executions, metrics
 from quaylog.operators.executions import METRICS
 from quaylog.operators.filters import COMPLETIONS, STARTS
@@ -53,18 +53,23 @@ def _triggered(writer, trigger: dict[str, Any]):
     return writer.trigger(**trigger) if trigger else writer
 
 
-def write_details(details: DataFrame, root: str, workload: str, checkpoint: str, minutes: int = 1, **trigger: Any):
-    """Appends closed intervals and their rows of the intervals table, batch by batch."""
+def save_details(batch: DataFrame, number: int, root: str, workload: str) -> None:
+    """A batch of closed intervals under its own number: one that is run again replaces itself."""
+    batch.withColumn("interval_id", clock.seconds(F.col("interval_end").cast("timestamp_ntz"))).write.mode("overwrite").parquet(f"{root}/{workload}/details/batch={number}")
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        batch.write.mode("append").parquet(f"{root}/{workload}/details")
-        batch.select("interval_end").distinct().withColumn("duration_minutes", F.lit(minutes)).write.mode("append").parquet(f"{root}/{workload}/intervals")
-        batch.unpersist()
 
+def write_details(details: DataFrame, root: str, workload: str, checkpoint: str, **trigger: Any):
+    """Writes closed intervals batch by batch, each once; ``read_details`` reads them."""
+    save = lambda batch, number: save_details(batch, number, root, workload)
     return _triggered(details.writeStream.outputMode("append"), trigger).option("checkpointLocation", checkpoint).foreachBatch(save).start()
 
 
+def read_details(spark: SparkSession, root: str, workload: str, minutes: int) -> tuple[DataFrame, DataFrame]:
+    """(details, intervals) that ``write_details`` has closed; intervals with the marker of no length."""
+    details = spark.read.parquet(f"{root}/{workload}/details").drop("batch")
+    return details, analysis.intervals(details, minutes)
+
+
 def pair_stream(events: DataFrame, timeout: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Completed executions as they complete: a stack of open starts is kept for each session.
 

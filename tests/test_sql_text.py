@@ -1,4 +1,5 @@
-import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from quaylog.functions import sql_text
@@ -35,12 +36,38 @@ def test_long_literals_do_not_overflow(spark):
     assert got[0] == "SELECT {STR}" and got[2] == "{SQL>1MB}" and got[3] == "SELECT 'OPEN" and len(got[1]) <= 4000
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [("a -- b\nc", "a \nc"), ("a /* b /* c */ d */ e", "a  e"), ("'--' /* x", "'--' "), ("'open -- x", "'open -- x"), ("", "")],
-)
-def test_scan_comments(text, want):
-    assert sql_text.scan_comments(text) == want
+def scan_comments(text):
+    """Comments by hand, sign by sign."""
+    out, state, i = [], 0, 0
+    while i < len(text):
+        two, one = text[i : i + 2], text[i]
+        if state == 0 and two in ("--", "/*"):
+            state, i = (2 if two == "--" else 3), i + 2
+            continue
+        if state > 2:
+            if two in ("/*", "*/"):
+                state, i = (state + 1 if two == "/*" else 0 if state == 3 else state - 1), i + 2
+            else:
+                i += 1
+            continue
+        if state == 2 and one in "\r\n":
+            state = 0
+        if state != 2:
+            out.append(one)
+        if one == "'" and state < 2:
+            state = 1 - state
+        i += 1
+    return "".join(out)
+
+
+def test_comments(spark):
+    rng = random.Random(1)
+    parts = ["a", "'", "''", "--", "-", "/", "*", "/*", "*/", "\n", "\r", " ", "b c"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["a -- b\nc", "a /* b /* c */ d */ e", "'--' /* x", "'open -- x", "", "/*/ /* x */ */ y", "/*" * 300 + "x" + "*/" * 300 + "y", "/* /* */ */" * 2000 + "z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", sql_text.strip_comments(F.col("t")).alias("s")).collect()
+    assert all(r["s"] == scan_comments(r["t"]) for r in got)
 
 
 def test_calls(spark):
