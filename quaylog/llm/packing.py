@@ -27,6 +27,8 @@ from .tokens import tokenizer_file, word_encoder
 
 QUANTUM = 256
 END_OF_TEXT = 1
+#: Documents that a task encodes at a time.
+ENCODED_ROWS = 512
 
 
 def cuts(tokens: int, quantum: int = QUANTUM) -> list[tuple[int, int]]:
@@ -50,7 +52,7 @@ def _tokenized(docs: DataFrame, text_col: str, json_path: str | None, ranks_path
 
         # the default vocabulary is the worker's own file
         encoder, end = word_encoder(json_path or tokenizer_file("byte_bpe_50k.json"), ranks_path or tokenizer_file("byte_bpe_50k.tiktoken")), end_id.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (whole.slice(at, ENCODED_ROWS) for whole in batches for at in range(0, whole.num_rows, ENCODED_ROWS)):
             totals, offsets, starts, lengths, crcs = [], [0], [], [], []
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             for encoded in encoder.encode_all(texts):
