@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .hot_keys import salted_join
 from .staging import Stage, staged
 
 #: Fingerprints of one anchor that one block compares.
@@ -255,11 +256,11 @@ def near_duplicates(
     where no other document is in it. No rows give no rows; further columns are ignored.
     """
     by_doc, components = _linked(docs, id_col, text_col, words, threshold, similarity, set_words)
-    first = by_doc.df.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    named = first.join(components, first["fp"] == components["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    first = by_doc.df.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    named = first.join(components, first["fp"] == components["node"], "left").select("fp", "first_id", "copies", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    answer = named.join(least, "component").select("fp", "component_id")
-    return by_doc.df.join(answer, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    answer = staged(named.join(least, "component").select("fp", "copies", "component_id"), "answer")
+    return salted_join(by_doc.df, answer, "fp", "copies", by_doc.df.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", words: int = 4, threshold: int = 4, set_words: int = 5) -> DataFrame:

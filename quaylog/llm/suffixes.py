@@ -36,7 +36,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Stage, release, shared_dir
+from .hot_keys import salted_join
+from .staging import Stage, release, shared_dir, staged
 
 #: Perfect difference sets: every residue other than 0 is a difference exactly once. Fixed values.
 COVERS = {
@@ -397,7 +398,7 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.concat(F.md5(text), F.hex(F.crc32(text))).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     slim = Stage(keyed.select("doc_id", "digest", "n_bytes", F.sha2("text", 256).alias("whole_sha256")), "texts").df
     groups = slim.where(F.col("n_bytes") >= window).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
-    total = slim.agg(F.sum("n_bytes")).first()[0] or 0
+    rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     period, cover = cover_for(window)
     least_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bases = (1 + secrets.randbelow(PRIME - 1), 1 + secrets.randbelow(PRIME - 1))
@@ -430,9 +431,9 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     chunk_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     chunk_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(chunk_path, True)
 
-    answer = groups.join(found.df, "digest").select("digest", "copies", "n_removed", "n_spans", "kept_sha256")
+    answer = staged(groups.join(found.df, "digest").select("digest", "copies", "n_removed", "n_spans", "kept_sha256"), "answer")
     copied = F.col("copies") > 1
-    return slim.join(answer, "digest", "left").select(
+    return salted_join(slim, answer, "digest", "copies", rows, "left").select(
         "doc_id",
         "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
