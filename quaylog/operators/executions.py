@@ -14,6 +14,8 @@ METRICS = ("cpu", "duration", "reads", "writes")
 
 #: Sequence numbers of one stretch of a session; as they count events, a stretch has no more rows.
 STRETCH = 1 << 17
+#: Milliseconds of a replay within which a worker's commands are ordered.
+SPAN_MS = 600_000
 
 
 def _carried(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,31 +74,50 @@ def pair_executions(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
     return paired.select(*[columns[c].alias(c) for c in events.columns])
 
 
-def resolve_prepared(events: DataFrame) -> DataFrame:
+def _with_last(rows: DataFrame, keys: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
+    """Adds ``_last``: the last value that isn't null of the earlier rows of the keys.
+
+    ``bucket`` is monotone in the order. A key's rows are ordered within a bucket only, and the
+    last value of each is carried to the later ones, so that a key of any number of rows is spread
+    over tasks.
+    """
+    given = F.col(value).isNotNull()
+    ends = rows.groupBy(*keys, bucket).agg(F.max_by(value, F.when(given, F.struct(*order))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(*keys, bucket, F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    running = rows.withColumn("_last", F.last(value, ignorenulls=True).over(inside))
+    return _carried(running, carry, [*keys, bucket]).withColumn("_last", F.coalesce("_last", "_before")).drop("_before")
+
+
+def resolve_prepared(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """Adds call_kind, handle, and the statement last prepared under it in the session.
 
     An unprepare call ends a handle; calls of handles that weren't prepared have a null statement.
+    Statements are carried from one ``stretch`` of sequence numbers to the next.
     """
     d = events.withColumn("call_kind", sql_text.call_kind(F.col("sql_text"))).withColumn("handle", sql_text.call_handle(F.col("sql_text")))
     quoted = F.regexp_extract("sql_text", r"(?is)OUTPUT,\s*(?:NULL|N'.+?'),\s*N'((?:[^']|'')*+)'", 1)
     change = F.when(F.col("call_kind") == "SP_PREPARE", F.struct(F.replace(quoted, F.lit("''"), F.lit("'")).alias("text"))).when(
         F.col("call_kind") == "SP_UNPREPARE", F.struct(F.lit(None).cast("string").alias("text"))
     )
-    before = Window.partitionBy("session_id", "handle").orderBy("event_sequence").rowsBetween(Window.unboundedPreceding, -1)
-    known = F.last(F.col("_change"), ignorenulls=True).over(before)["text"]
-    calls = d.where(F.col("handle").isNotNull()).withColumn("_change", change).withColumn("statement", F.when(F.col("call_kind").isin("SP_EXECUTE", "SP_UNPREPARE"), known))
-    return calls.drop("_change").unionByName(d.where(F.col("handle").isNull()).withColumn("statement", F.lit(None).cast("string")))
+    calls = d.where(F.col("handle").isNotNull()).withColumn("_change", change).withColumn("_stretch", F.floor(F.col("event_sequence") / F.lit(stretch)).cast("long"))
+    known = _with_last(calls, ["session_id", "handle"], "_stretch", ["event_sequence"], "_change")
+    calls = known.withColumn("statement", F.when(F.col("call_kind").isin("SP_EXECUTE", "SP_UNPREPARE"), F.col("_last.text")))
+    return calls.drop("_change", "_stretch", "_last").unionByName(d.where(F.col("handle").isNull()).withColumn("statement", F.lit(None).cast("string")))
 
 
-def replay_schedule(events: DataFrame, stress: bool = False, by_app: bool = False) -> DataFrame:
+def replay_schedule(events: DataFrame, stress: bool = False, by_app: bool = False, span_ms: int = SPAN_MS) -> DataFrame:
     """When each starting command is due: offset from the first, worker, and wait after the
-    worker's previous command (none after a connection reset)."""
+    worker's previous command (none after a connection reset). A worker's commands are ordered
+    within ``span_ms``, and its last one is carried to the next span."""
     first = events.agg(F.min("start_time").alias("_first"))
     millis = F.timestamp_diff("MICROSECOND", F.col("_first"), F.col("start_time")) / 1000
     d = events.where(F.col("event_type").isin(*STARTS)).join(F.broadcast(first))  # one row
     offset = F.lit(0.0) if stress else F.greatest(millis, F.lit(0.0))
     key = [F.col("session_id").cast("string"), F.coalesce("database_name", F.lit(""))] + ([F.coalesce("client_app_name", F.lit(""))] if by_app else [])
     d = d.withColumn("offset_ms", offset).withColumn("worker", F.concat_ws("_", *key)).withColumn("is_reset", F.coalesce(F.col("sql_text").contains("sp_reset_connection"), F.lit(False)))
-    w = Window.partitionBy("worker").orderBy("start_time", "event_sequence")
-    delay = F.when(F.lag("is_reset").over(w), 0.0).otherwise(F.greatest(F.col("offset_ms") - F.lag("offset_ms").over(w), F.lit(0.0)))
+    d = d.withColumn("_span", F.floor(millis / F.lit(span_ms)).cast("long")).withColumn("_sent", F.struct("is_reset", "offset_ms"))
+    d = _with_last(d, ["worker"], "_span", ["start_time", "event_sequence"], "_sent")
+    delay = F.when(F.col("_last.is_reset"), 0.0).otherwise(F.greatest(F.col("offset_ms") - F.col("_last.offset_ms"), F.lit(0.0)))
     return d.withColumn("delay_ms", F.coalesce(delay, F.lit(0.0))).select("event_sequence", "start_time", "worker", "sql_text", "offset_ms", "is_reset", "delay_ms")

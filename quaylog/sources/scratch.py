@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``; in local mode, where that is unset, below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quaylog-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base}/quaylog/{name}-{uuid.uuid4().hex}"

@@ -59,6 +59,41 @@ def test_prepared_statements(spark):
     assert got == {1: None, 2: None, 3: "select 'x'", 4: "select 'x'", 5: None}
 
 
+def test_prepared_statements_over_stretches(spark):
+    rng, rows, want, known = random.Random(4), [], {}, {}
+    for seq in range(120):
+        session, handle, kind = rng.choice([1, 1, 1, 2, None]), rng.randrange(3), rng.choice(["prepare", "execute", "execute", "unprepare"])
+        text = {"prepare": f"declare @p1 int set @p1={handle} exec sp_prepare @p1 output,NULL,N'select {seq}' select @p1", "execute": f"exec sp_execute {handle}", "unprepare": f"exec sp_unprepare {handle}"}[kind]
+        want[seq] = None if kind == "prepare" else known.get((session, handle))
+        if kind != "execute":
+            known[session, handle] = f"select {seq}" if kind == "prepare" else None
+        rows.append(event(seq, 2, session=session, text=text))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for stretch in (7, 1 << 17):
+        assert {r["event_sequence"]: r["statement"] for r in executions.resolve_prepared(df, stretch).collect()} == want
+    assert executions.resolve_prepared(df.where("false")).count() == 0
+
+
+def test_replay_schedule_over_spans(spark):
+    rng, rows, want, last = random.Random(6), [], {}, {}
+    for seq in sorted(rng.sample(range(4000), 150)):
+        session, app, text = rng.choice([1, 1, 1, 2]), rng.choice("ab"), rng.choice(["select 1", "exec sp_reset_connection"])
+        rows.append(event(seq, 2, session=session, text=text, app=app))
+    start = rows[0][0]
+    for by_app in (False, True):
+        want, last = {}, {}
+        for r in rows:
+            key, offset = (r[7], r[3] if by_app else None), (r[0] - start) * 1000.0
+            before = last.get(key)
+            want[r[0]] = (offset, 0.0 if before is None or before[0] else offset - before[1])
+            last[key] = ("reset" in r[8], offset)
+        for span in (30_000, 600_000, 1 << 40):
+            got = executions.replay_schedule(spark.createDataFrame(rows, SCHEMA), by_app=by_app, span_ms=span).collect()
+            assert {r["event_sequence"]: (r["offset_ms"], r["delay_ms"]) for r in got} == want
+    stressed = executions.replay_schedule(spark.createDataFrame(rows, SCHEMA), stress=True).collect()
+    assert {(r["offset_ms"], r["delay_ms"]) for r in stressed} == {(0.0, 0.0)}
+
+
 def test_merge_equals_aggregate_and_keeps_old_nulls(spark):
     rng = random.Random(1)
     rows = [event(i, -3, duration=rng.randrange(50), app=rng.choice("abc")) for i in range(80)]
