@@ -77,7 +77,8 @@ class WordEncoder:
     """
 
     def __init__(self, json_path: str, ranks_path: str):
-        self.fast = load_tiktoken(ranks_path)
+        # the same object that the secret scan has in this process
+        self.fast = per_process(("ranks", ranks_path), lambda: load_tiktoken(ranks_path))
         self.json_path = json_path
         with open(json_path, encoding="utf-8") as f:
             self.specials = [t["content"] for t in json.load(f).get("added_tokens", [])]
