@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_planes, html_text, packing, revisits, rp_forest, secrets, shards, simhash, spaced_seeds, str_tree, suffixes, toxicity
+from . import bit_planes, html_text, ngram_join, packing, revisits, rp_forest, secrets, shards, simhash, spaced_seeds, str_tree, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,10 +63,14 @@ def op12_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_planes.clusters(_read(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_toxicity, op2_revisits, op3_secrets, op4_neighbours, op5_suffixes, op6_simhash, op7_packing, op8_decontamination, op9_html, op10_sharding, op11_str_tree, op12_bit_planes)
+    numbered = (op1_toxicity, op2_revisits, op3_secrets, op4_neighbours, op5_suffixes, op6_simhash, op7_packing, op8_decontamination, op9_html, op10_sharding, op11_str_tree, op12_bit_planes, op13_ngram_join)
     return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_revisits": revisits.ORACLE, "op10_sharding": shards.ORACLE, "op11_str_tree": str_tree.ORACLE, "op12_bit_planes": bit_planes.ORACLE}
+    return {"op2_revisits": revisits.ORACLE, "op10_sharding": shards.ORACLE, "op11_str_tree": str_tree.ORACLE, "op12_bit_planes": bit_planes.ORACLE, "op13_ngram_join": ngram_join.ORACLE}

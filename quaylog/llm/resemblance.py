@@ -224,7 +224,7 @@ def _first_meetings(rows: DataFrame, block: int) -> DataFrame:
     return rows.select("band", "cell", _dealt(_groups("m", "hashed", block), first), "k0", "k1", "root", "component")
 
 
-def _last_meetings(rows: DataFrame, block: int) -> DataFrame:
+def last_meetings(rows: DataFrame, block: int) -> DataFrame:
     """Of cells of several blocks: the sets outside the largest group meet each other and that group.
 
     With r sets outside in one block a cell's rows grow by r for each block of the largest group.
@@ -276,7 +276,7 @@ def joined_components(docs: DataFrame, profiled: DataFrame, links: DataFrame, si
 
     found, now = [], None
     several = _groups("m", "hashed", block) > 1
-    for chosen, meet in ((F.col("band") < FIRST_BANDS, _first_meetings), (F.col("band") >= FIRST_BANDS, _first_meetings), (several, _last_meetings)):
+    for chosen, meet in ((F.col("band") < FIRST_BANDS, _first_meetings), (F.col("band") >= FIRST_BANDS, _first_meetings), (several, last_meetings)):
         rows = members.df.where(chosen)
         if rows.isEmpty():
             continue
