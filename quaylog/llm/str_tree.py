@@ -25,7 +25,7 @@ from .staging import Stage, bounded_batches
 TILE_BITS = 12
 #: Rows of a tile, and numbers that it holds at most (fewer rows where vectors are long).
 TILE, TILE_NUMBERS = 1 << TILE_BITS, 1 << 18
-LEAF, FANOUT = 32, 16
+LEAF, FANOUT = 256, 16
 #: Boxes and anchors that meet in one task when anchors are sent on.
 BOXES, ASKING = 1024, 4096
 NO_LIMIT = 1 << 62
