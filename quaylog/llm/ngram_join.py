@@ -83,7 +83,6 @@ def count_ngrams(docs: DataFrame, words: int, counters: int = COUNTERS):
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         total, held, size = np.zeros((2, counters), np.int64), [], 0
 
@@ -104,25 +103,35 @@ def count_ngrams(docs: DataFrame, words: int, counters: int = COUNTERS):
         parts = total.reshape(-1, chunk)
         some = np.flatnonzero(parts.any(axis=1)).tolist()
         for i in some:
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(parts[i], (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())], ["chunk", "counts"])
+            yield sent(i, parts[i])
 
-    def add_up(batches: Iterator) -> Iterator:
+    def sent(i: int, counts):
+        """A row of counters, in as many bytes each as the largest needs, four at most."""
         import numpy as np
         import pyarrow as pa
 
-        totals: dict[int, np.ndarray] = {}
+        counts = np.minimum(counts, (1 << 32) - 1)
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32) if counts.max() <= np.iinfo(k).max)
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([counts.astype(kind).tobytes()], pa.binary())], ["chunk", "counts"])
+
+    def received(counts: bytes):
+        import numpy as np
+
+        return np.frombuffer(counts, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(counts) // chunk]).astype(np.int64)
+
+    def add_up(batches: Iterator) -> Iterator:
+        totals: dict = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                own = np.frombuffer(batch.column(1)[i].as_py(), np.uint32).astype(np.int64)
-                at = batch.column(0)[i].as_py()
+                at, own = batch.column(0)[i].as_py(), received(batch.column(1)[i].as_py())
                 totals[at] = totals[at] + own if at in totals else own
         for at, sums in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.minimum(sums, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())], ["chunk", "counts"])
+            yield sent(at, sums)
 
     schema = "chunk int, counts binary"
     out = np.zeros((2 * counters // chunk, chunk), np.uint32)
     for r in docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add_up, schema).collect():  # all counters together, 16 MB
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
+        out[r["chunk"]] = received(r["counts"])
     return out.reshape(2, counters)
 
 
@@ -319,7 +328,8 @@ def _components(docs: DataFrame, kinds: Stage, members: Stage, words: int, perce
     """(key, component): the components of sets that link, of two sets at least."""
     h = kinds.df.join(members.df.select("sid").distinct(), "sid", "left_semi").select("h").distinct()
     wanted = Stage(h, "wanted")
-    sets = Stage(_sets(docs.join(wanted.df, "h", "left_semi"), words).dropDuplicates(["key"]), "sets")
+    # copies go where the join has brought them together; one text of each wanted set is left
+    sets = Stage(_sets(docs.select("h", "text").join(wanted.df, "h", "left_semi").dropDuplicates(["h", "text"]), words), "sets")
     wanted.drop()
     release(docs.sparkSession)
 
@@ -375,6 +385,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     release(spark)
     members = Stage(each.join(cells.df, "cell"), "members")
     cells.drop()
+    listed, kinds = kinds, Stage(kinds.df.drop("prefix"), "kinds")
+    listed.drop()
     release(spark)
 
     found = _components(rows, kinds, members, words, percent, small, block)
