@@ -13,7 +13,8 @@ rows' product, the overlap, is large enough for their sizes. Only blocks of that
   in large ones, where rows outside the largest component meet each other and that component. Pairs that are joined already
   need no product, so no group gives all its pairs.
 
-A product is accumulated from the n-grams that two rows share; sets travel once for each block that they meet.
+A product is accumulated from the n-grams that two rows share; sets travel once for each block that they meet. A set goes by
+the 64 bits of one of its texts where rows meet (texts that share them only meet once more), and by 128 of its own where they link.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .hot_keys import HOT_KEYS, LEAST_ROWS, salted_join
 from .resemblance import BLOCK, alike, forest, last_meetings
-from .staging import Stage, bounded_batches, release
+from .staging import Buckets, Stage, bounded_batches, release
 
 WORDS, PERCENT = 5, 80
 #: Counters of each of two rows, and counters that travel together.
@@ -136,7 +137,7 @@ def count_ngrams(docs: DataFrame, words: int, counters: int = COUNTERS):
 
 
 def _profiles(docs: DataFrame, model, words: int, percent: int) -> DataFrame:
-    """Of docs(doc_id, h, text): doc_id, h, key (128 bits of the set), sid (the first 64), n, and the prefix, rare n-grams first; null without words."""
+    """Of docs(doc_id, h, text): doc_id, h, key (128 bits of the set), n, and the prefix, rare n-grams first; null without words."""
 
     def compute(batches: Iterator) -> Iterator:
         import numpy as np
@@ -149,36 +150,35 @@ def _profiles(docs: DataFrame, model, words: int, percent: int) -> DataFrame:
             for t in batch.column(2):
                 found = ngrams(t.as_py(), words)
                 if not len(found):
-                    rows.append((None,) * 4)
+                    rows.append((None,) * 3)
                     continue
                 key = xxhash.xxh3_128_digest(found.tobytes())
                 a, b = _slots(found, counts.shape[1])
                 order = np.lexsort((found, np.minimum(counts[0][a], counts[1][b])))[: prefix_length(len(found), percent)]
-                rows.append((key, int.from_bytes(key[:8], "big", signed=True), len(found), found[order].view(np.int64)))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "h", "key", "sid", "n", "prefix"])
+                rows.append((key, len(found), found[order].view(np.int64)))
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc_id", "h", "key", "n", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "h", "text").mapInArrow(compute, f"doc_id {kind}, h long, key binary, sid long, n long, prefix array<long>")
+    return docs.select("doc_id", "h", "text").mapInArrow(compute, f"doc_id {kind}, h long, key binary, n long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(sid, key, hashes) of every text with words."""
+    """(sid, key, hashes) of every text with words, of docs(sid, text)."""
 
     def compute(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
         def out(held: list) -> pa.RecordBatch:
-            keys = [xxhash.xxh3_128_digest(x) for x in held]
-            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(k[:8], "big", signed=True) for k in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.binary())], ["sid", "key", "hashes"])
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), pa.array([xxhash.xxh3_128_digest(x) for _, x in held], pa.binary()), pa.array([x for _, x in held], pa.binary())], ["sid", "key", "hashes"])
 
         held, size = [], 0
         for batch in batches:
-            for t in batch.column(0):
+            for sid, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if len(found := ngrams(t.as_py(), words)):
-                    held.append(found.tobytes())
+                    held.append((sid, found.tobytes()))
                     size += len(found)
                 if size > GATHERED // 2:
                     yield out(held)
@@ -186,7 +186,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield out(held)
 
-    return docs.select("text").mapInArrow(compute, "sid long, key binary, hashes binary")
+    return docs.select("sid", "text").mapInArrow(compute, "sid long, key binary, hashes binary")
 
 
 def overlaps(row, others: list):
@@ -326,10 +326,10 @@ def _large_cells(rows: DataFrame, sets: DataFrame, percent: int, block: int) ->
 
 def _components(docs: DataFrame, kinds: Stage, members: Stage, words: int, percent: int, small: int, block: int) -> DataFrame:
     """(key, component): the components of sets that link, of two sets at least."""
-    h = kinds.df.join(members.df.select("sid").distinct(), "sid", "left_semi").select("h").distinct()
-    wanted = Stage(h, "wanted")
+    wanted = Stage(members.df.select("sid").distinct(), "wanted")
     # copies go where the join has brought them together; one text of each wanted set is left
-    sets = Stage(_sets(docs.select("h", "text").join(wanted.df, "h", "left_semi").dropDuplicates(["h", "text"]), words), "sets")
+    texts = docs.select(F.col("h").alias("sid"), "text").join(wanted.df, "sid", "left_semi").dropDuplicates(["sid", "text"])
+    sets = Buckets(_sets(texts, words), "sets", "sid")
     wanted.drop()
     release(docs.sparkSession)
 
@@ -376,7 +376,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     model = spark.sparkContext.broadcast(count_ngrams(rows, words, counters))  # 16 MB
     profiles = Stage(_profiles(rows, model, words, percent), "profiles")
     own = Stage(profiles.df.select("doc_id", "key", "n"), "rows")
-    kinds = Stage(profiles.df.where("key IS NOT NULL").dropDuplicates(["key"]).select("sid", "key", "n", "h", "prefix"), "kinds")
+    kinds = Stage(profiles.df.where("key IS NOT NULL").dropDuplicates(["key"]).select(F.col("h").alias("sid"), "key", "n", "prefix"), "kinds")
     profiles.drop()
     release(spark)
 

@@ -44,6 +44,27 @@ class Stage:
         self._fs.delete(self._path, True)
 
 
+class Buckets:
+    """A DataFrame written once as a table in buckets by ``key``, which joins on the key read where they are; ``drop`` deletes it.
+
+    There are as many buckets as the session's shuffles have partitions, so what is partitioned by the key already
+    is written as one file for each bucket.
+    """
+
+    def __init__(self, df: DataFrame, name: str, key: str):
+        self._spark, self._name = df.sparkSession, f"quaylog_{name}_{uuid.uuid4().hex}"
+        self._path = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(self._spark)}/quaylog/{self._name}")
+        self._fs = self._path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._path)
+        count = int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(count, key).sortBy(key).option("compression", "zstd").option("path", self._path.toString()).saveAsTable(self._name)
+        self.df = self._spark.table(self._name)
+
+    def drop(self) -> None:
+        self._spark.sql(f"DROP TABLE IF EXISTS {self._name}")
+        self._fs.delete(self._path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Stage(df, name).df
 
