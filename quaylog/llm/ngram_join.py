@@ -327,8 +327,8 @@ def _large_cells(rows: DataFrame, sets: DataFrame, percent: int, block: int) ->
 def _components(docs: DataFrame, kinds: Stage, members: Stage, words: int, percent: int, small: int, block: int) -> DataFrame:
     """(key, component): the components of sets that link, of two sets at least."""
     wanted = Stage(members.df.select("sid").distinct(), "wanted")
-    # copies go where the join has brought them together; one text of each wanted set is left
-    texts = docs.select(F.col("h").alias("sid"), "text").join(wanted.df, "sid", "left_semi").dropDuplicates(["sid", "text"])
+    # a join by shuffle at every size: it brings copies together, so that they go and buckets are written where they are
+    texts = docs.select(F.col("h").alias("sid"), "text").join(wanted.df.hint("merge"), "sid", "left_semi").dropDuplicates(["sid", "text"])
     sets = Buckets(_sets(texts, words), "sets", "sid")
     wanted.drop()
     release(docs.sparkSession)
