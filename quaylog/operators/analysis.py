@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from quaylog.functions import clock, sql_text
 
+from . import partials
 from .executions import METRICS
 from .filters import drop_empty_executions, drop_noise_templates
+from .partials import DIMS
 
-DIMS = {"application": "client_app_name", "database": "database_name", "host": "client_host_name", "login": "server_principal_name"}
 #: Names of event types in the error table. Fixed values.
 TYPE_NAMES = {5: "Timeout", 7: "Error"}
 
@@ -27,7 +28,12 @@ def with_interval(df: DataFrame, minutes: int, events: DataFrame | None = None)
 
 def executions(paired: DataFrame, minutes: int = 60, events: DataFrame | None = None) -> DataFrame:
     """Paired rows with template, sql_hash and interval_id; noise and empty texts are gone."""
-    named = sql_text.normalize_sql(with_interval(drop_empty_executions(paired), minutes, events))
+    return templated(with_interval(paired, minutes, events))
+
+
+def templated(rows: DataFrame) -> DataFrame:
+    """Rows with template and sql_hash; noise and empty texts are gone."""
+    named = sql_text.normalize_sql(drop_empty_executions(rows))
     return drop_noise_templates(named).withColumn("sql_hash", sql_text.sql_hash(F.col("template")))
 
 
@@ -37,12 +43,11 @@ def _total(c: str) -> Column:
 
 def workload_details(execs: DataFrame) -> DataFrame:
     """By interval, template and client names: average (whole), least, most and total of each metric."""
-    aggs = [x for m in METRICS for x in (F.expr(f"cast(avg({m}) as long)").alias(f"avg_{m}"), F.min(m).alias(f"min_{m}"), F.max(m).alias(f"max_{m}"), _total(m))]
-    keys = [F.col(c).alias(n) for n, c in DIMS.items()]
-    return execs.groupBy("interval_id", "sql_hash", *keys).agg(*aggs, F.count("*").alias("execution_count"))
+    return partials.details(partials.partials(execs))
 
 
 def workload_summary(execs: DataFrame) -> DataFrame:
+    """By client names, of executions read for it alone; ``partials.summary`` has it from partials."""
     aggs = [x for m in METRICS for x in (F.min(m).alias(f"min_{m}"), F.max(m).alias(f"max_{m}"), _total(m))]
     dates = [F.min("start_time").alias("min_execution_date"), F.max("start_time").alias("max_execution_date")]
     return execs.groupBy(*[F.col(c).alias(n) for n, c in DIMS.items()]).agg(*aggs, *dates, F.count("*").alias("execution_count"))

@@ -97,8 +97,7 @@ def resolve_prepared(events: DataFrame, stretch: int = STRETCH) -> DataFrame:
     Statements are carried from one ``stretch`` of sequence numbers to the next.
     """
     d = events.withColumn("call_kind", sql_text.call_kind(F.col("sql_text"))).withColumn("handle", sql_text.call_handle(F.col("sql_text")))
-    quoted = F.regexp_extract("sql_text", r"(?is)OUTPUT,\s*(?:NULL|N'.+?'),\s*N'((?:[^']|'')*+)'", 1)
-    change = F.when(F.col("call_kind") == "SP_PREPARE", F.struct(F.replace(quoted, F.lit("''"), F.lit("'")).alias("text"))).when(
+    change = F.when(F.col("call_kind") == "SP_PREPARE", F.struct(sql_text.prepared_statement(F.col("sql_text")).alias("text"))).when(
         F.col("call_kind") == "SP_UNPREPARE", F.struct(F.lit(None).cast("string").alias("text"))
     )
     calls = d.where(F.col("handle").isNotNull()).withColumn("_change", change).withColumn("_stretch", F.floor(F.col("event_sequence") / F.lit(stretch)).cast("long"))

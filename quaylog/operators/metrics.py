@@ -9,7 +9,7 @@ WAITS = ("wait_sec", "resource_sec", "signal_sec", "wait_count")
 FILE_KEYS = ("database_name", "physical_filename", "logical_filename", "file_type", "volume_mount_point")
 DISK = ("read_latency_ms", "reads", "read_bytes", "write_latency_ms", "writes", "write_bytes")
 
-#: Categories by the start of a wait type's name, the longest start deciding; a whole table can
+#: Categories by the start of a wait type's name, the longest start deciding; whole tables can
 #: be given instead. Fixed values.
 WAIT_CATEGORIES = {
     "LCK_": "Lock", "LATCH_": "Latch", "PAGELATCH_": "Buffer Latch", "PAGEIOLATCH_": "Buffer IO", "RESOURCE_SEMAPHORE": "Memory", "CXPACKET": "Parallelism", "EXCHANGE": "Parallelism",
@@ -83,23 +83,39 @@ def performance_counters(c: DataFrame) -> DataFrame:
     return c.groupBy("interval_id", "name").agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("avg_value"))
 
 
-def wait_category(wait_type, categories: dict[str, str] = WAIT_CATEGORIES):
-    out = F.lit("<n/a>")
-    for start in sorted(categories, key=len):
-        out = F.when(wait_type.startswith(start), categories[start]).otherwise(out)
-    return out
+def _one_each(rules: DataFrame, key: str) -> DataFrame:
+    """Rules with one row for each key; a key that has two categories is an error when it is read."""
+    clash = F.raise_error(F.concat(F.lit("two categories for "), F.col(key)))
+    category = F.when(F.count_distinct("category") > 1, clash.cast("string")).otherwise(F.min("category"))
+    return rules.where(F.col(key).isNotNull()).groupBy(key).agg(category.alias("category"))
 
 
-def wait_report(waits: DataFrame, intervals: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+def wait_categories(types: DataFrame, rules: DataFrame) -> DataFrame:
+    """(wait_type, category) of each of ``types``: that of the longest ``rules(prefix, category)`` which its name begins with, or null.
+
+    Each type, which are few, is spread to all its beginnings, so that the rules are met by an equal join, whatever their
+    number; they may lie inside each other. The empty prefix is a rule for all names.
+    """
+    names = types.select("wait_type").where("wait_type IS NOT NULL").distinct()
+    starts = names.select("wait_type", F.explode(F.sequence(F.lit(0), F.length("wait_type"))).alias("_length"))
+    starts = starts.withColumn("prefix", F.expr("substring(wait_type, 1, _length)"))
+    met = starts.join(_one_each(rules, "prefix"), "prefix", "left")
+    return met.groupBy("wait_type").agg(F.max_by("category", F.when(F.col("category").isNotNull(), F.col("_length"))).alias("category"))
+
+
+def wait_report(waits: DataFrame, intervals: DataFrame, categories: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
     """Waits with interval end, elapsed minutes and category; times in milliseconds.
 
-    ``categories(wait_type, category)`` replaces the rules by name.
+    ``categories(wait_type, category)`` names types one by one, ``rules(prefix, category)`` by the start of their names; the
+    rules are WAIT_CATEGORIES where neither is given, and serve types that ``categories`` lacks where both are. One
+    type has one category: a table that gives two for a key is an error, and one that repeats a row is not.
     """
-    d = waits.join(elapsed_minutes(intervals), "interval_id")
-    if categories is not None:
-        d = d.join(categories.select("wait_type", F.col("category").alias("wait_category")), "wait_type", "left").withColumn("wait_category", F.coalesce("wait_category", F.lit("<n/a>")))
-    else:
-        d = d.withColumn("wait_category", wait_category(F.col("wait_type")))
+    if rules is None and categories is None:
+        rules = waits.sparkSession.createDataFrame(list(WAIT_CATEGORIES.items()), "prefix string, category string")
+    d = waits.join(elapsed_minutes(intervals), "interval_id").withColumn("wait_category", F.lit(None).cast("string"))
+    for table in ([_one_each(categories, "wait_type")] if categories is not None else []) + ([wait_categories(waits, rules)] if rules is not None else []):
+        d = d.join(table, "wait_type", "left").withColumn("wait_category", F.coalesce("wait_category", "category")).drop("category")
+    d = d.withColumn("wait_category", F.coalesce("wait_category", F.lit("<n/a>")))
     return d.select("interval_id", "end_time", "elapsed_minutes", "wait_type", "wait_category", *[(F.col(c) * 1000).alias(c.replace("_sec", "_ms")) for c in WAITS[:3]], "wait_count")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylog.functions import clock, sql_text
-from quaylog.operators import analysis, executions, filters, metrics, report
+from quaylog.operators import analysis, executions, filters, metrics, partials, report
 from quaylog.sources import adapter, parsers
 from quaylog.sources.scratch import written
 
@@ -274,7 +274,14 @@ _SUMMED = f"SELECT client_app_name AS application, database_name AS database, cl
 
 @_query("workload_summary", _with(_SUMMED.format(""), _ALL))
 def _(s, d):
-    return analysis.workload_summary(execs(s, d))
+    return partials.summary(partials.partials(execs(s, d)))
+
+
+@_query("coarser_details", _with("SELECT * FROM details", _execs_sql("cap", 360)))
+def _(s, d):
+    """Six-hour facts, rolled up from hourly partials."""
+    parts = written(partials.partials(execs(s, d)), "partials")
+    return partials.details(partials.coarser(parts, 360, events(s, d)))
 
 
 _MERGED = ", ".join(
@@ -409,6 +416,13 @@ def _(s, d):
     return report.series_time_axis(report.series(pts, "cpu"), report.first_interval(ivals))
 
 
+@_query("series_axis_compared", _with("SELECT 'baseline' AS side, event_offset, sum(sum_cpu)::BIGINT AS total, event_offset::DOUBLE AS at_offset FROM points1 GROUP BY 2 UNION ALL SELECT 'benchmark', event_offset, sum(sum_cpu)::BIGINT, event_offset::DOUBLE FROM points2 GROUP BY 2", *_BASE))
+def _(s, d):
+    """Two workloads on one axis of offsets."""
+    base, bench = (report.series_time_axis(report.series(pts, "cpu")).withColumn("side", F.lit(side)) for pts, side in zip(_sides(s, d), ("baseline", "benchmark"), strict=True))
+    return base.unionByName(bench)
+
+
 _ONE = "SELECT A FROM T WHERE ID {IN}"
 
 
@@ -452,11 +466,22 @@ def _(s, d):
     return report.compare_query_dims(*_sides(s, d), _one_hash())
 
 
-@_query("full_outer_by_key", _with("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n, coalesce(b.m, -1) AS m FROM (SELECT client_app_name AS k, count(*) AS n FROM cap WHERE client_app_name <> 'app_view' GROUP BY 1) a FULL JOIN (SELECT client_app_name AS k, count(*) AS m FROM cap WHERE client_app_name <> 'app_click' GROUP BY 1) b ON a.k = b.k"))
+# a third of the rows have one key, one session in 20 a key of its side alone, and keys and values may be null
+_KEYED = "CASE WHEN session_id = {0} THEN '{1}' WHEN session_id % 3 = 0 THEN 'hot' ELSE client_app_name || '_' || session_id END"
+_OUTER_SQL = f"""l AS (SELECT {_KEYED.format(1, 'left')} AS k, event_sequence AS n, session_id % 2 + NULLIF(session_id % 4, 1) AS v FROM cap WHERE event_type IN (2, -3)),
+  r AS (SELECT {_KEYED.format(2, 'right')} AS k, database_name AS m, NULLIF(sum(cpu), 0)::BIGINT AS w FROM cap WHERE database_name <> 'db_1' OR cpu IS NULL GROUP BY 1, 2)"""
+
+
+def _outer_sides(s, d) -> tuple[DataFrame, DataFrame]:
+    e = events(s, d)
+    left = e.where("event_type IN (2, -3)").select(F.expr(_KEYED.format(1, "left")).alias("k"), F.col("event_sequence").alias("n"), F.expr("session_id % 2 + nullif(session_id % 4, 1)").alias("v"))
+    right = e.where("database_name <> 'db_1' OR cpu IS NULL").groupBy(F.expr(_KEYED.format(2, "right")).alias("k"), F.col("database_name").alias("m")).agg(F.expr("nullif(sum(cpu), 0)").alias("w"))
+    return left, right
+
+
+@_query("full_outer_by_key", _with("SELECT CASE WHEN l.n IS NULL THEN r.k ELSE l.k END AS k, coalesce(l.n, 0) AS n, CASE WHEN l.n IS NULL THEN 9 ELSE v END AS v, coalesce(m, 'none') AS m, CASE WHEN m IS NULL THEN -1 ELSE w END AS w FROM l FULL JOIN r ON l.k IS NOT DISTINCT FROM r.k", _OUTER_SQL))
 def _(s, d):
-    e = events(s, d).where("client_app_name IS NOT NULL").withColumnRenamed("client_app_name", "k")
-    a, b = e.where("k <> 'app_view'").groupBy("k").agg(F.count("*").alias("n")), e.where("k <> 'app_click'").groupBy("k").agg(F.count("*").alias("m"))
-    return report.full_outer(a, b, ["k"], {"n": 0, "m": -1})
+    return report.full_outer_salted(*_outer_sides(s, d), ["k"], {"n": 0, "v": 9, "m": "none", "w": -1}, hot_rows=1000)
 
 
 @_query("replay_schedule", _with("""SELECT event_sequence, start_time, worker, sql_text, offset_ms, is_reset, coalesce(CASE WHEN lag(is_reset) OVER w THEN 0 ELSE greatest(offset_ms - lag(offset_ms) OVER w, 0) END, 0) AS delay_ms FROM (
@@ -539,6 +564,20 @@ def _(s, d):
     return metrics.wait_report(metrics.wait_deltas(snaps).withColumnRenamed("snapshot_no", "interval_id"), _metric_intervals(snaps))
 
 
+# rules inside each other, the empty one among them
+_RULES = {"": "Other", "P": "Page", "PAGE": "Page", "PAGEIO": "Page IO", "PAGEIOLATCH_SH": "Page IO, shared", "LCK_M": "Lock", "LCK_M_XX": "none", "C": "C", "CX": "Parallel"}
+
+
+@_query("wait_categories", _with("""SELECT interval_id, end_time, elapsed_minutes, wait_type, CASE wait_type WHEN 'CUSTOM_WAIT' THEN 'Named' WHEN 'PAGEIOLATCH_SH' THEN 'Page IO, shared' WHEN 'CXPACKET' THEN 'Parallel' WHEN 'LCK_M_X' THEN 'Lock' ELSE 'Other' END AS wait_category,
+   wait_sec * 1000 AS wait_ms, resource_sec * 1000 AS resource_ms, signal_sec * 1000 AS signal_ms, wait_count FROM deltas d JOIN me ON me.interval_id = d.snapshot_no""", _SNAP, _METRIC_INTERVALS))
+def _(s, d):
+    """Categories by a table of names, which repeats a row, and by nested rules for the others."""
+    snaps = _snapshots(s, d)
+    rules = s.createDataFrame(list(_RULES.items()), "prefix string, category string")
+    named = s.createDataFrame([("CUSTOM_WAIT", "Named")] * 2, "wait_type string, category string")
+    return metrics.wait_report(metrics.wait_deltas(snaps).withColumnRenamed("snapshot_no", "interval_id"), _metric_intervals(snaps), named, rules)
+
+
 _DISK = """dd AS (SELECT date_trunc('day', ts) AS day, 'db_' || u % 4 AS database_name, 'file_' || u % 3 AS physical_filename, sum(c)::BIGINT AS a, sum(k)::BIGINT AS b, count(*) AS n FROM base GROUP BY ALL),
 ds AS (SELECT date_diff('day', TIMESTAMP '2000-01-01', day) AS snapshot_no, database_name, physical_filename, (sum(a) OVER w)::BIGINT AS a, (sum(b) OVER w)::BIGINT AS b, (sum(n) OVER w)::BIGINT AS n FROM dd WINDOW w AS (PARTITION BY database_name, physical_filename ORDER BY day ROWS UNBOUNDED PRECEDING)),
 dp AS (SELECT snapshot_no AS no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS previous_no FROM (SELECT DISTINCT snapshot_no FROM ds)),
@@ -589,10 +628,10 @@ def _(s, d):
     return metrics.counter_report(c, ivals)
 
 
-@_query("counter_ratio", _with("SELECT trunc(sum((c::DOUBLE / 100000 * 100)::FLOAT::DOUBLE))::INTEGER AS avg_cpu_percent FROM (SELECT u, min(c) AS c FROM base WHERE u < 20 GROUP BY u)"))
+@_query("counter_ratio", _with("SELECT trunc(sum((c::DOUBLE / 100000 * 100)::FLOAT::DOUBLE))::INTEGER AS avg_cpu_percent FROM (SELECT u, min(c) AS c FROM base GROUP BY u)"))
 def _(s, d):
-    """Ratio counters that the adapter's events imply: one pool for each of 20 users."""
-    pools = adapter.user_events(s, d).where("u < 20").groupBy("u").agg(F.min("c").alias("c"))
+    """Ratio counters that the adapter's events imply: one pool for each user."""
+    pools = adapter.user_events(s, d).groupBy("u").agg(F.min("c").alias("c"))
     row = lambda name, value, kind: F.struct(F.lit("SQLServer:Resource Pool Stats").alias("object_name"), F.lit(name).alias("counter_name"), F.col("u").cast("string").alias("instance_name"), value.alias("cntr_value"), F.lit(kind).alias("cntr_type"))
     both = pools.select(F.explode(F.array(row("CPU usage %", F.col("c"), 537003264), row("CPU usage % base", F.lit(100000).cast("long"), 1073939712))).alias("x"))
     return metrics.counter_ratio(both.select("x.*"))
@@ -648,30 +687,27 @@ def _(s, d):
     return parsers.parse_trace(trace_rows(events(s, d)))
 
 
-_ONE_IN = "event_sequence % 10 = 0"
-
-
 def _xe(name, *fields):
     """An XML event of one kind; fields are (kind, key, value)."""
     nodes = [F.coalesce(F.concat(F.lit(f'<{kind} name="{key}"><value>'), value.cast("string"), F.lit(f"</value></{kind}>")), F.lit("")) for kind, key, value in fields]
     return F.concat(F.lit(f'<event name="{name}" timestamp="'), F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z">'), *nodes, F.lit("</event>"))
 
 
-@_query("reset_login_text", _with(f"SELECT event_sequence, 2 AS event_type, '{parsers.NONPOOLED}' AS sql_text FROM cap WHERE {_ONE_IN} AND session_id % 2 = 1"))
+@_query("reset_login_text", _with(f"SELECT event_sequence, 2 AS event_type, '{parsers.NONPOOLED}' AS sql_text FROM cap WHERE session_id % 2 = 1"))
 def _(s, d):
     """Logins: those from a pool are no events, others reset their connection."""
     login = _xe("login", ("data", "is_cached", F.when(F.col("session_id") % 2 == 0, "true").otherwise("false")), ("action", "event_sequence", F.col("event_sequence")))
-    return parsers.parse_xe(events(s, d).where(_ONE_IN).select(login.alias("event_data"))).select("event_sequence", "event_type", "sql_text")
+    return parsers.parse_xe(events(s, d).select(login.alias("event_data"))).select("event_sequence", "event_type", "sql_text")
 
 
 @_query("user_error_events", _with(f"""SELECT event_sequence, CASE WHEN session_id % 3 = 0 THEN 7 ELSE 5 END AS event_type, client_host_name AS sql_text, CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id * 1000000 END::BIGINT AS cpu,
-   CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id * 1000000 END::BIGINT AS duration FROM cap WHERE {_ONE_IN} AND session_id % 3 < 2"""))
+   CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id * 1000000 END::BIGINT AS duration FROM cap WHERE session_id % 3 < 2"""))
 def _(s, d):
     """User events: errors, timeouts of the capture tool, and timeouts of other tools, which go."""
     third, session = F.col("session_id") % 3, F.col("session_id").cast("string")
     mark = F.when(third == 1, F.concat(F.lit(parsers.TOOL_PREFIX + "Timeout["), session, F.lit("]"))).when(third == 2, F.concat(F.lit("other "), session))
     event = _xe("user_event", ("data", "event_id", F.when(third == 0, parsers.ERROR_EVENT).otherwise(parsers.TIMEOUT_EVENT)), ("data", "user_info", mark), ("data", "user_data", F.col("client_host_name")), ("action", "event_sequence", F.col("event_sequence")))
-    return parsers.parse_xe(events(s, d).where(_ONE_IN).select(event.alias("event_data"))).select("event_sequence", "event_type", "sql_text", "cpu", "duration")
+    return parsers.parse_xe(events(s, d).select(event.alias("event_data"))).select("event_sequence", "event_type", "sql_text", "cpu", "duration")
 
 
 @_query("with_ids", _with("""SELECT coalesce(i.id, -1) AS client_app_name_id, count(*) AS n FROM cap LEFT JOIN (SELECT row_number() OVER (ORDER BY f.a, f.b, name) - 1 AS id, name FROM (SELECT client_app_name AS name, min({'a': start_time, 'b': event_sequence}) AS f FROM cap WHERE client_app_name IS NOT NULL GROUP BY 1) x) i

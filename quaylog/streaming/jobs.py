@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -15,6 +15,9 @@ from quaylog.functions import clock, sql_text
 from quaylog.operators import analysis, executions, metrics
 from quaylog.operators.executions import METRICS
 from quaylog.operators.filters import COMPLETIONS, STARTS
+from quaylog.sources.versions import Versions
+
+from .ledger import Ledger
 
 EVENT_SCHEMA = (
     "event_sequence long, event_type int, start_time timestamp, client_app_name string, client_host_name string, database_name string, "
@@ -30,6 +33,27 @@ def stream_capture(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, *
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
+def resume_capture(events: DataFrame, path: str, checkpoint: str, **trigger: Any):
+    """Takes in each event once, also when the checkpoint is lost; ``Ledger(path).events`` reads them."""
+    return Ledger(path).stream(events, checkpoint, **trigger)
+
+
+def recent_cpu(samples: DataFrame, minutes: int, slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
+    """(server, end_time, samples, avg_cpu) of ``samples(server, ts, value)``: the whole mean of the values of the last
+    ``minutes`` before each end of ``slide``, once it is closed; ends without a sample in reach have no row.
+
+    Samples are added up by ``slide`` first, so that a sample is counted once and not for each window over it. Late samples beyond
+    ``delay`` are left out. Over a table that doesn't stream it gives all ends.
+    """
+    d = samples.where("ts IS NOT NULL")
+    if samples.isStreaming:
+        d = d.withWatermark("ts", delay)
+    panes = d.groupBy("server", F.window("ts", slide).alias("pane")).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    over = panes.groupBy("server", F.window(F.window_time("pane"), f"{minutes} minutes", slide).alias("w")).agg(F.sum("total").alias("total"), F.sum("n").alias("samples"))
+    mean = F.coalesce(F.round(F.col("total") / F.when(F.col("samples") > 0, F.col("samples")), 6), F.lit(0.0)).cast("int")
+    return over.select("server", F.col("w.end").alias("end_time"), "samples", mean.alias("avg_cpu"))
+
+
 def dedup_resume(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Events once each, by session and sequence; with a checkpoint also across restarts."""
     return events.withWatermark("start_time", delay).dropDuplicatesWithinWatermark(["session_id", "event_sequence"])
@@ -119,25 +143,6 @@ def pair_stream(events: DataFrame, timeout: str = "30 minutes", delay: str = "10
 _KEPT = ("event_sequence", "event_type", "start_time", "client_app_name", "client_host_name", "database_name", "server_principal_name", "session_id", "sql_text", *METRICS)
 
 
-def _versioned(path: str) -> tuple[Callable[[SparkSession], DataFrame | None], Callable[[DataFrame, int], None]]:
-    """Reader and writer of a small table that each batch rewrites under its own number."""
-
-    def read(spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return None
-        done = [s.getPath() for s in fs.listStatus(hadoop) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        numbers = sorted(int(p.getName().split("=")[1]) for p in done)
-        numbers = [n for n in numbers if before is None or n < before]
-        return spark.read.parquet(f"{path}/v={numbers[-1]}") if numbers else None
-
-    def write(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return read, write
-
-
 def stream_executions(events: DataFrame, path: str, checkpoint: str, timeout: str = "30 minutes", delay: str = "10 minutes", **trigger: Any):
     """Pairs each batch whole, with the starts that the batches before left open; ``read_executions`` reads the result.
 
@@ -146,8 +151,7 @@ def stream_executions(events: DataFrame, path: str, checkpoint: str, timeout: st
     ``delay`` of event time; no event is left out for being late. A batch that is run again starts
     from the same versions.
     """
-    read, write = _versioned(f"{path}/paired")
-    read_clock, write_clock = _versioned(f"{path}/clock")
+    table, clocks = Versions(f"{path}/paired"), Versions(f"{path}/clock")
     columns = [f.name for f in events.schema if f.name in _KEPT]
     silent, late = (int(pd.Timedelta(x).total_seconds() * 1_000_000) for x in (timeout, delay))
     held = F.struct("sql_text", *METRICS)
@@ -155,7 +159,7 @@ def stream_executions(events: DataFrame, path: str, checkpoint: str, timeout: st
 
     def pair(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old, before = read(spark, number), read_clock(spark, number)
+        old, before = table.read(spark, number), clocks.read(spark, number)
         was = before.first()[0] if before is not None else None
         now = max((x for x in (was, batch.agg(F.max(micros)).first()[0]) if x is not None), default=None)
         seen = batch.groupBy(F.col("session_id").alias("_session")).agg(F.greatest(F.max(micros), F.lit(was - late if was is not None else None).cast("long")).alias("_now"))
@@ -169,42 +173,86 @@ def stream_executions(events: DataFrame, path: str, checkpoint: str, timeout: st
         paired = paired.withColumns({c: F.coalesce(F.col(f"_held.{c}"), F.col(c)) for c in ("sql_text", *METRICS)})
         paired = paired.join(seen, F.col("session_id").eqNullSafe(F.col("_session")), "left").withColumn("_seen", F.greatest("_seen", "_now")).drop("_now", "_session")
         over = F.col("_seen") + silent < F.lit(now - late if now is not None else None).cast("long")
-        write(paired.withColumn("_done", (F.coalesce("duration", F.lit(0)) != 0) | F.coalesce(over, F.lit(False))), number)
-        write_clock(spark.range(1).select(F.lit(now).cast("long").alias("micros")), number)
+        table.write(paired.withColumn("_done", (F.coalesce("duration", F.lit(0)) != 0) | F.coalesce(over, F.lit(False))), number)
+        # what is given out stays; of versions only those that a batch may start from do
+        done = spark.read.parquet(f"{table.path}/v={number}").where("_done")
+        done.select([c for c in done.columns if c in _KEPT]).write.mode("overwrite").parquet(f"{path}/done/batch={number}")
+        clocks.write(spark.range(1).select(F.lit(now).cast("long").alias("micros")), number)
 
     return _triggered(events.writeStream, trigger).option("checkpointLocation", checkpoint).foreachBatch(pair).start()
 
 
 def read_executions(spark: SparkSession, path: str) -> DataFrame:
     """What ``stream_executions`` has given out."""
-    done = spark.read.parquet(f"{path}/paired").where("_done")
-    return done.select([c for c in done.columns if c in _KEPT])
+    return spark.read.parquet(f"{path}/done").drop("batch")
 
 
 def stream_summary(events: DataFrame, path: str, checkpoint: str, **trigger: Any):
-    """A running summary: every batch's is merged into the version before it. A batch that is
-    run again starts from the same version, so nothing is counted twice."""
-    read, write = _versioned(path)
+    """A running summary: every batch's is merged into the version before it; ``read_summary`` reads the newest.
+
+    A batch that is run again starts from the same version, so nothing is counted twice.
+    """
+    table = Versions(path)
 
     def merge(batch: DataFrame, number: int) -> None:
         new = analysis.workload_summary(batch)
-        old = read(batch.sparkSession, number)
-        write(new if old is None else analysis.merge_summary(old, new), number)
+        old = table.read(batch.sparkSession, number)
+        table.write(new if old is None else analysis.merge_summary(old, new), number)
 
     return _triggered(events.writeStream, trigger).option("checkpointLocation", checkpoint).foreachBatch(merge).start()
 
 
+def read_summary(spark: SparkSession, path: str) -> DataFrame | None:
+    return Versions(path).read(spark)
+
+
+class WaitDeltas:
+    """Deltas of snapshots that arrive in parts, under ``path``.
+
+    The newest snapshot is held open until a row of a later one arrives, since more of its rows may come;
+    snapshots come in the order of their numbers. What is kept between batches is the last snapshot that is
+    closed, which the next one is measured against, and all rows of the open one. Rows of a closed snapshot are too late
+    and go to ``late``. A batch that is run again starts from the same state.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.held = path, Versions(f"{path}/held")
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = self.held.read(spark, number)
+        closed = None if old is None else old.agg(F.max(F.when(F.col("_closed"), F.col("snapshot_no")))).first()[0]
+        here = batch.where("snapshot_no IS NOT NULL")
+        here.where("false" if closed is None else F.col("snapshot_no") <= closed).write.mode("overwrite").parquet(f"{self.path}/late/batch={number}")
+        new = here if closed is None else here.where(F.col("snapshot_no") > closed)
+        both = new if old is None else old.drop("_closed").unionByName(new)
+        newest = both.agg(F.max("snapshot_no")).first()[0]
+        self._deltas(both.where(F.col("snapshot_no") < F.lit(newest)), closed).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={number}")
+        # of the snapshots before the newest only the last is needed
+        last = both.where(F.col("snapshot_no") < F.lit(newest)).agg(F.max("snapshot_no").alias("_last"))
+        kept = both.join(F.broadcast(last)).where(F.coalesce(F.col("snapshot_no") >= F.col("_last"), F.lit(True)))  # one row
+        self.held.write(kept.withColumn("_closed", F.col("snapshot_no") < F.lit(newest)).drop("_last"), number)
+
+    @staticmethod
+    def _deltas(snapshots: DataFrame, closed: int | None) -> DataFrame:
+        deltas = metrics.wait_deltas(snapshots)
+        return deltas if closed is None else deltas.where(F.col("snapshot_no") > closed)
+
+    def stream(self, snapshots: DataFrame, checkpoint: str, **trigger: Any):
+        return _triggered(snapshots.writeStream, trigger).option("checkpointLocation", checkpoint).foreachBatch(self.add).start()
+
+    def read(self, spark: SparkSession, open_too: bool = False) -> DataFrame:
+        """Deltas of closed snapshots; ``open_too``: and those of the open one as it stands, as at the end of a capture."""
+        done = spark.read.parquet(f"{self.path}/deltas").drop("batch")
+        if not open_too or (held := self.held.read(spark)) is None:
+            return done
+        closed = held.agg(F.max(F.when(F.col("_closed"), F.col("snapshot_no")))).first()[0]
+        return done.unionByName(self._deltas(held.drop("_closed"), closed))
+
+    def late(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/late")
+
+
 def stream_wait_deltas(snapshots: DataFrame, path: str, checkpoint: str, **trigger: Any):
-    """Deltas of each new snapshot against the last one of the batch before."""
-    read, write = _versioned(f"{path}/last")
-
-    def delta(batch: DataFrame, number: int) -> None:
-        old = read(batch.sparkSession, number)
-        both = batch if old is None else old.unionByName(batch)
-        first = None if old is None else old.agg(F.max("snapshot_no")).first()[0]
-        deltas = metrics.wait_deltas(both)
-        (deltas if first is None else deltas.where(F.col("snapshot_no") > first)).write.mode("overwrite").parquet(f"{path}/deltas/v={number}")
-        last = both.agg(F.max("snapshot_no").alias("snapshot_no"))
-        write(both.join(F.broadcast(last), "snapshot_no"), number)
-
-    return _triggered(snapshots.writeStream, trigger).option("checkpointLocation", checkpoint).foreachBatch(delta).start()
+    """Deltas of each new snapshot against the one before, once it is complete; ``WaitDeltas`` reads them."""
+    return WaitDeltas(path).stream(snapshots, checkpoint, **trigger)

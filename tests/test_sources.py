@@ -33,10 +33,10 @@ def test_capture_round_trip_and_append(spark, tmp_path):
     path = f"file://{tmp_path}/capture"
     df = spark.createDataFrame([event(i, 2) for i in range(5)], SCHEMA)
     stores.write_capture({"events": df}, path)
-    stores.write_capture({"events": df, "counters": spark.createDataFrame([(0, "AVG_CPU_USAGE", 3.0)], "row_id long, name string, value float")}, path)
+    stores.write_capture({"events": df, "counters": spark.createDataFrame([(1, "AVG_CPU_USAGE", 3.0)], "row_id long, name string, value float")}, path)
     got = stores.read_capture(spark, path)["events"]
     assert got.count() == 10 and got.select("row_id").distinct().count() == 10
-    assert got.where("row_id = 0").first()["counters"] == {"AVG_CPU_USAGE": 3.0}
+    assert got.where("row_id = 1").first()["counters"] == {"AVG_CPU_USAGE": 3.0}
 
 
 def test_analysis_round_trip(spark, tmp_path):
