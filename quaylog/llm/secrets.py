@@ -65,18 +65,32 @@ def known_form(run: str, before: str) -> bool:
     )
 
 
+def covered(spans: list[tuple[str, int, int]]) -> list[list[int]]:
+    """The stretches that spans cover, in order and apart from each other."""
+    out: list[list[int]] = []
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def random_spans(text: str, tokens_of, taken: list[tuple[str, int, int]], ratio: float = RATIO) -> list[tuple[str, int, int]]:
     """Runs of few characters per token that no base span overlaps."""
-    out = []
+    out, stretches, at = [], covered(taken), 0
     for m in RUN.finditer(text):
         start, end = m.span()
+        # runs come in order, so the stretches that end before this one are done with
+        while at < len(stretches) and stretches[at][1] <= start:
+            at += 1
         run = m[0].strip("=-/_+")
-        if len(run) < 20 or any(s < end and start < e for _, s, e in taken):
+        if len(run) < 20 or (at < len(stretches) and stretches[at][0] < end):
             continue
         limit = min(ratio, WORDS_RATIO) if WORDS.fullmatch(run) else ratio
         if not known_form(run, text[max(0, start - 24) : start]) and len(run) < limit * len(tokens_of(run)):
-            at = text.index(run, start)
-            out.append(("random", at, at + len(run)))
+            first = text.index(run, start)
+            out.append(("random", first, first + len(run)))
     return out
 
 

@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from quaylog.llm import bit_planes, ngram_join, queries, str_tree
+from quaylog.llm import bit_planes, ngram_join, queries, secrets, str_tree
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, label int, embedding array<float>, n int, tile int, score double"
@@ -213,3 +213,20 @@ def test_against_sql(spark, name):
     columns = sorted(got.columns)
     at = [list(want.columns).index(c) for c in columns]
     assert sorted(str([r[c] for c in columns]) for r in got.collect()) == sorted(str([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_runs_inside_base_spans_are_left_out_in_one_walk():
+    import time
+
+    rng = random.Random(11)
+    for _ in range(400):
+        text = " ".join(rng.choice(["secret=", "AKIA" + "A1" * 9, "ab12" * 9, "token: " + "xY9" * 8, "qZ8" * 9, "-", "word"]) + rng.choice(["", "x", "=Q7w" * 6]) for _ in range(12))
+        taken = secrets.base_spans(text)
+        all_runs = secrets.random_spans(text, lambda run: list(run), [])
+        runs = {m.span() for m in secrets.RUN.finditer(text)}
+        outside = [x for x in all_runs if not any(s < b and a < e for a, b in runs if a <= x[1] and x[2] <= b for _, s, e in taken)]
+        assert secrets.random_spans(text, lambda run: list(run), taken) == outside
+    text = "".join(f"secret={rng.getrandbits(128):032x}\n" for _ in range(100_000))
+    began = time.perf_counter()
+    assert secrets.random_spans(text, lambda run: list(run), secrets.base_spans(text)) == []
+    assert len(text) > 3_900_000 and time.perf_counter() - began < 10
