@@ -192,19 +192,31 @@ def _(s, d):
     return events(s, d).select("event_sequence", sql_text.strip_comments(nested).alias("stripped"), sql_text.strip_comments(plain).alias("plain"))
 
 
-@_query("param_values", _with("SELECT event_sequence, '@A = {STR},@B = {NUM}' AS out FROM cap"))
+def _by_fourths(*texts):
+    """One of four texts, by sequence; None in a text stands for the host's name."""
+    picked = F.lit(None).cast("string")
+    for i, text in enumerate(texts):
+        whole = F.concat(*[F.col("client_host_name") if x is None else F.lit(x) for x in text])
+        picked = F.when(F.col("event_sequence") % 4 == i, whole).otherwise(picked)
+    return picked
+
+
+@_query("param_values", _with("SELECT event_sequence, CASE event_sequence % 4 WHEN 0 THEN '@A = {STR},@B = {NUM}' WHEN 1 THEN '@LONG_NAME = {STR}, @B1 = {NUM}, @C=@D' WHEN 2 THEN 'plain ' || client_host_name ELSE '@A = {STR} + <' || client_host_name || '>' END AS out FROM cap"))
 def _(s, d):
-    return events(s, d).select("event_sequence", sql_text.param_values(F.concat(F.lit("@A=N'it''s "), "client_host_name", F.lit("',@B = "), F.col("event_sequence"))).alias("out"))
+    text = _by_fourths(["@A=N'it''s ", None, "',@B = 12"], ["@LONG_NAME = '", None, "', @B1=1.5, @C=@D"], ["plain ", None], ["@A = '' + <", None, ">"])
+    return events(s, d).select("event_sequence", sql_text.param_values(text).alias("out"))
 
 
-@_query("constants", _with("SELECT event_sequence, 'X = {STR}, {STR}, {NSTR}, {BINARY}, {##} = {##}' AS out FROM cap"))
+@_query("constants", _with("SELECT event_sequence, CASE event_sequence % 4 WHEN 0 THEN 'X = {STR}, {STR}, {NSTR}, {BINARY}, {##} = {##}' WHEN 1 THEN 'Y IN ({##}, {##}) AND Z = {STR}' WHEN 2 THEN client_host_name || ' A1 T' ELSE 'X={BINARY}+{NSTR}' END AS out FROM cap"))
 def _(s, d):
-    return events(s, d).select("event_sequence", sql_text.constants(F.concat(F.lit("X = '', 'a', N'"), "client_host_name", F.lit("', 0XAF, -"), F.lit("-1"), F.lit(" = "), F.col("event_sequence"))).alias("out"))
+    text = _by_fourths(["X = '', 'a', N'", None, "', 0XAF, --1 = 77"], ["Y IN (1, -2.5) AND Z = '", None, "'"], [None, " A1 T"], ["X=0X1F+N'a''b ", None, "'"])
+    return events(s, d).select("event_sequence", sql_text.constants(text).alias("out"))
 
 
-@_query("in_lists", _with("SELECT event_sequence, 'WHERE A {IN}' AS out FROM cap"))
+@_query("in_lists", _with("SELECT event_sequence, CASE event_sequence % 4 WHEN 0 THEN 'WHERE A {IN}' WHEN 1 THEN 'A {IN} OR C' WHEN 2 THEN 'JOIN T ON A = ' || client_host_name ELSE 'A IN (SELECT 1)' END AS out FROM cap"))
 def _(s, d):
-    return events(s, d).select("event_sequence", sql_text.in_lists(F.concat(F.lit("WHERE A IN ( {STR}, '"), "client_host_name", F.lit("', {##} )"))).alias("out"))
+    text = _by_fourths(["WHERE A IN ( {STR}, '", None, "', {##} )"], ["A IN ({##}) AND B IN\n({STR}) OR C"], ["JOIN T ON A = ", None], ["A IN (SELECT 1)"])
+    return events(s, d).select("event_sequence", sql_text.in_lists(text).alias("out"))
 
 
 @_query("text_shape", _with("SELECT event_sequence, 'a, ' || client_host_name || ', b c' AS out, substr(repeat(client_host_name, 1000), 1, 4000) AS cut FROM cap"))
