@@ -5,9 +5,9 @@ of menus, headers, footers, sidebars, notices, adverts, forms and reader comment
 zero. Lengths are summed over windows of three lines. Text begins where the sums surge
 above a threshold and ends where they dive to zero; what lies between is kept.
 
-Where articles are declared, lines outside them have length zero and the boilerplate inside
-them is no line at all, so the sums dive between articles only. An article whose sums
-don't surge, beside others that do, isn't kept. The page is read once: every step takes time in proportion to it.
+Where articles are declared, each is looked at by itself and the boilerplate inside it is no line,
+so its text is one stretch from its first line to its last: there the marks decide, and surge and dive points
+change nothing. They decide on pages that declare no article. The page is read once: every step takes time in proportion to it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,9 @@ BOILERPLATE = frozenset(
 TALK = frozenset("comment comments commentlist disqus reply replies respond".split())
 #: Words that may stand beside those above in a hyphenated class or id.
 FRAME = frozenset("area bar block body box container div form global group inner item items li list outer primary reader row secondary section site thread user wrap wrapper".split())
+#: Words of those above that name a subject where a word for a text follows them, as in "social-post". Fixed values.
+SUBJECTS = frozenset("alert dialog form login menu notice notices search share sharing social toolbar widget".split())
+TEXTS = frozenset("article entry post story".split())
 HEADERS = frozenset("header topbar banner masthead".split())
 CONTENT = frozenset("content article main post entry story text articlebody".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,6 +80,11 @@ def _named(marks: list[list[str]], of: frozenset, beside: frozenset = FRAME) ->
     return any(not of.isdisjoint(words) and all(w in of or w in beside or w.isdigit() for w in words) for words in marks)
 
 
+def _about(words: list[str]) -> bool:
+    """Whether a mark names a text by its subject."""
+    return len(words) > 1 and words[-1] in TEXTS and SUBJECTS.issuperset(BOILERPLATE.intersection(words))
+
+
 def _kind(tag: str, name: str, inside: bool) -> str:
     """'drop' for boilerplate, 'talk' for reader comments, 'article' for a declared article, 'teaser' for one marked as boilerplate, '' otherwise."""
     marks = _marks(tag, name, inside)
@@ -86,7 +96,7 @@ def _kind(tag: str, name: str, inside: bool) -> str:
     if name in DROPPED or (name == "header" and not inside) or ["hidden"] in marks:
         return "drop"
     content = words & CONTENT
-    boilerplate = bool(words) and _named(marks, BOILERPLATE, FRAME | CONTENT)
+    boilerplate = bool(words) and _named([m for m in marks if not _about(m)], BOILERPLATE, FRAME | CONTENT)
     if name in ("article", "main"):
         return "teaser" if boilerplate else "article"
     if boilerplate or (words and _named(marks, HEADERS) and not inside and not content):
@@ -287,7 +297,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             lines.append((text, max(0, len(text) - linked), open_.inner()))
         parts.clear()
@@ -296,14 +306,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     at = links = 0
     for begin, end, tag, name in _tokens(page):
         if begin > at:
-            piece = page[at:begin]
+            piece = html.unescape(page[at:begin])  # by itself: no reference goes on behind a tag
             parts.append(piece)
             if links:
                 linked += len(" ".join(piece.split()))
         at = end
         if not name:
             if tag.startswith("<![CDATA["):
-                parts.append(html.escape(tag[9:-3], quote=False))
+                parts.append(tag[9:-3])
             elif not tag:
                 parts.append(" ")
             continue
@@ -329,7 +339,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             open_.block(name)
         within = open_.inner()
         open_.push(name, tree.add(within, _kind(tag, name, tree.article[within] > 0)))
-    parts.append(page[at:])
+    parts.append(html.unescape(page[at:]))
     flush()
     dropped = tree.dropped(lines)
     return [(text, own, dropped[i], tree.article[i]) for text, own, i in lines]
@@ -362,26 +372,30 @@ def stretches(lengths: list[int], surge: float, window: int = WINDOW, back: bool
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive points; empty if there is none.
 
-    Of a page with declared articles, the text of those that surge and aren't comments, nor in boilerplate
-    beside the longest one; the threshold falls to an eighth of the largest sum where that is less.
+    The threshold is relative to what is looked at: ``surge`` characters, or an eighth of its largest sum where that
+    is less, so that short texts surge as well. Of a page with declared articles each one is looked at by itself, all but
+    comments and what is in boilerplate beside the longest one. On other pages lines that are links for the most part neither
+    surge nor hold off a dive; those with words of their own that adjoin a stretch belong to it.
     """
     lines = lines_of(page or "")
-    declared = any(article and not dropped for _, _, dropped, article in lines)
-    if declared:
-        apart: list[tuple[str, int, bool, int]] = []
-        for x in lines:
-            if x[2] and x[3]:
-                continue
-            if apart and apart[-1][3] != x[3]:  # a window's lines part an article from what is beside it, however near
-                apart += [("", 0, True, 0)] * window
-            apart.append(x)
-        lines = apart
-        lengths = [len(text) if article and not dropped else 0 for text, _, dropped, article in lines]
-        surge = min(surge, max((sum(lengths[i : i + window]) for i in range(len(lengths))), default=0) / 8)
-    else:
-        lengths = [0 if dropped or 2 * own < len(text) else own for text, own, dropped, _ in lines]
-    found = stretches(lengths, surge, window, back=declared)
-    return "\n".join(text for a, b in found for text, _, dropped, _ in lines[a:b] if not dropped)
+
+    def found(lengths: list[int], back: bool) -> list[tuple[int, int]]:
+        largest = max((sum(lengths[i : i + window]) for i in range(len(lengths))), default=0)
+        return stretches(lengths, min(surge, largest / 8), window, back) if largest else []
+
+    articles = [(text, article) for text, _, dropped, article in lines if article and not dropped]
+    if articles:
+        runs = [[text for text, _ in run] for _, run in groupby(articles, key=itemgetter(1))]
+        return "\n".join(text for run in runs for a, b in found([len(text) for text in run], True) for text in run[a:b])
+    kept = [False] * len(lines)
+    own_words = [not dropped and own > 1 for _, own, dropped, _ in lines]
+    for a, b in found([0 if dropped or 2 * own < len(text) else own for text, own, dropped, _ in lines], False):
+        while a and own_words[a - 1] and not kept[a - 1]:
+            a -= 1
+        while b < len(lines) and own_words[b]:
+            b += 1
+        kept[a:b] = [True] * (b - a)
+    return "\n".join(text for (text, _, dropped, _), keep in zip(lines, kept, strict=True) if keep and not dropped)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
