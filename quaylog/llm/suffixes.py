@@ -395,8 +395,8 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.concat(F.md5(text), F.hex(F.crc32(text))).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    slim = Stage(keyed.select("doc_id", "digest", "n_bytes", F.sha2("text", 256).alias("whole_sha256")), "texts").df
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    slim = Stage(keyed.select("doc_id", "digest", "n_bytes"), "texts").df
     groups = slim.where(F.col("n_bytes") >= window).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one"))
     rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     period, cover = cover_for(window)
@@ -438,5 +438,5 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_col: str = "doc_id", t
         "n_bytes",
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "whole_sha256")).alias("kept_sha256"),
+        F.when(copied, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
     )
