@@ -5,7 +5,7 @@ difference of two of its vectors). All rows are then indexed: every vector goes
 of each tree. A query descends all trees at once through one priority queue, ordered by the
 largest margin by which a path has left the query's side, and takes leaves until they should
 hold a number of rows that grows slower than the table. The candidates of those leaves are reranked
-by exact cosine in double precision. Each dimension that occurs has a forest of its own.
+by exact cosine in double precision. Each of the commonest dimensions has a forest of its own.
 
 Equal vectors are one entry with its smallest ids. A leaf with many vectors is split into
 blocks that meet the leaf's queries in different tasks.
@@ -24,7 +24,10 @@ from .staging import Stage, staged
 TREES = 16
 #: Vectors of each dimension that trees are fitted on; the number of leaves is bounded by a part of it.
 SAMPLE_ROWS = 20_000
+SAMPLE_BYTES = 32 << 20
 SAMPLE_LEAF = 20
+#: Dimensions that have a forest, those of most vectors; vectors of rarer ones are compared with all of theirs.
+FORESTS = 32
 #: Rows that a query's leaves should hold: FACTOR * rows ** POWER, all of them where that is more.
 #: Structureless data in 64 dimensions need so many for a recall of 0.95; clustered data far fewer.
 SEARCH_FACTOR, SEARCH_POWER = 2.1, 0.86
@@ -124,6 +127,16 @@ def unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(x, y):
+    """Cosine of each row of ``x`` with that of ``y``, summed from the first component to the last: the same whatever rows come along."""
+    import numpy as np
+
+    def dots(a, b):
+        return np.cumsum(a * b, axis=1)[:, -1]
+
+    return dots(x, y) / (np.sqrt(dots(x, x)) * np.sqrt(dots(y, y)))
+
+
 def by_dimension(column) -> Iterator[tuple[int, list[int]]]:
     """(dimension, places) of an Arrow list column."""
     at: dict[int, list[int]] = {}
@@ -152,11 +165,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
     import numpy as np
 
     models, shares = {}, {}
-    for r in entries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect():
-        chosen = entries.where(F.size("v") == r["d"]).orderBy(F.xxhash64("v"), "ids").limit(sample_rows).select("v").collect()  # bounded by sample_rows
-        models[r["d"]] = fitted(unit(np.array([x["v"] for x in chosen])), trees, seed)
-        shares[r["d"]] = searched_share(r["n"]) if share is None else share
-    model = spark.sparkContext.broadcast((models, shares))  # of each dimension trees x leaves x dimensions, bounded by sample_rows
+    for at, (d, n) in enumerate(entries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").collect()):
+        sample = np.zeros((0, d))
+        if at < FORESTS:
+            most = min(sample_rows, max(2, SAMPLE_BYTES // (8 * d)))  # what comes to the driver is bounded in rows and bytes
+            chosen = entries.where(F.size("v") == d).orderBy(F.xxhash64("v"), "ids").limit(most).select("v").toArrow()
+            sample = unit(_matrix(chosen.column(0).combine_chunks()))
+        models[d] = fitted(sample, trees, seed)
+        shares[d] = searched_share(n) if share is None else share
+    model = spark.sparkContext.broadcast((models, shares))  # of each of FORESTS dimensions trees x leaves x dimensions, bounded by the sample
 
     def index(batches: Iterator) -> Iterator:
         import numpy as np
@@ -194,15 +211,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, trees: int = TREES
         import pyarrow as pa
 
         def meet(ids: list, point, size, asked: list, v) -> pa.RecordBatch:
+            # matrix products round by the shape of the block: they only choose what is scored by ``cosines``
             x = scaled(v)
-            scores = (x @ point.T) / (np.linalg.norm(x, axis=1)[:, None] * size)
-            best = np.argpartition(-scores, min(k + 1, len(ids) - 1), axis=1)[:, : k + 1]
-            limit = np.take_along_axis(scores, best, 1).min(axis=1)
-            out = []
-            for row, (own,) in enumerate(asked):
-                near = np.flatnonzero(scores[row] >= limit[row])
-                found = sorted((-scores[row, j], i) for j in near.tolist() for i in ids[j] if i != own)[:k]
-                out += [(own, i, -s) for s, i in found]
+            rough = (x @ point.T) / (np.linalg.norm(x, axis=1)[:, None] * size)
+            best = np.argpartition(-rough, min(k + 1, len(ids) - 1), axis=1)[:, : k + 1]
+            limit = np.take_along_axis(rough, best, 1).min(axis=1) - 8 * x.shape[1] * np.finfo(float).eps
+            rows, near = np.nonzero(rough >= limit[:, None])
+            scored: list[list] = [[] for _ in asked]
+            for row, j, score in zip(rows.tolist(), near.tolist(), cosines(x[rows], point[near]).tolist(), strict=True):
+                scored[row] += [(-score, i) for i in ids[j] if i != asked[row][0]]
+            out = [(own, i, -s) for (own,), found in zip(asked, scored, strict=True) for s, i in sorted(found)[:k]]
             return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
         # a cell's points come before its queries, which then pass by one batch after another
