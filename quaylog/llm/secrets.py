@@ -11,6 +11,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,6 @@ def scan(docs: DataFrame, ratio: float = RATIO, ranks_path: str | None = None, i
     """
 
     def find(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
         tokens_of = _tokens_of(ranks_path)
         for batch in batches:
@@ -139,8 +139,8 @@ def redact(docs: DataFrame, mask: str = "[secret]", ratio: float = RATIO, ranks_
     Each row by its text alone; no rows give no rows; further columns stay as they are.
     """
 
-    @F.pandas_udf("string")
-    def clean(texts):
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
         tokens_of = _tokens_of(ranks_path)
 
         def one(text):
@@ -154,6 +154,6 @@ def redact(docs: DataFrame, mask: str = "[secret]", ratio: float = RATIO, ranks_
                 at = max(at, e)
             return "".join([*out, text[at:]])
 
-        return texts.map(one)
+        return pa.array((one(t.as_py()) for t in texts), pa.string(), size=len(texts))
 
     return docs.withColumn(text_col, clean(F.col(text_col)))

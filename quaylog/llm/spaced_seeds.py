@@ -12,7 +12,7 @@ it the same seeds are joined by a shuffle.
 from collections.abc import Iterator
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,7 +222,6 @@ def _by_broadcast(d: DataFrame, t: DataFrame, result: str, min_words: int, min_s
     rows = d.sparkSession.sparkContext.broadcast([tuple(r) for r in t.collect()])  # bounded by the caller
 
     def find(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
         items = Items(rows.value)
         for batch in batches:
@@ -239,7 +238,6 @@ def _by_broadcast(d: DataFrame, t: DataFrame, result: str, min_words: int, min_s
             yield _rows(out, ids)
 
     def _rows(out: list[tuple], ids):
-        import pyarrow as pa
 
         at = pa.array([x[0] for x in out], pa.int64())
         return pa.RecordBatch.from_arrays([ids.take(at), pa.array([x[1] for x in out], kind), *(pa.array([x[k] for x in out], pa.int64()) for k in (2, 3, 4))], ["doc_id", "item_id", "matched_words", "overlap_words", "first_word"])
@@ -273,7 +271,6 @@ def _verified_pairs(d: DataFrame, t: DataFrame, min_words: int, min_share: float
 
     def all_seeds(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
             digests, texts = batch.columns
@@ -283,7 +280,6 @@ def _verified_pairs(d: DataFrame, t: DataFrame, min_words: int, min_share: float
                 yield pa.RecordBatch.from_arrays([digests.take(pa.array([i] * len(keys), pa.int64())), pa.array(keys)], ["digest", "seed"])
 
     def verify(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
         for batch in batches:
             docs, items, texts, item_texts = batch.columns
@@ -324,8 +320,8 @@ def without_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
         return rows.join(pairs.select(F.col("doc").alias("digest")), "digest", "left_anti").select("row.*")
     sent = docs.sparkSession.sparkContext.broadcast([(i, r["text"]) for i, r in enumerate(t.collect())])  # bounded by its counted seeds
 
-    @F.pandas_udf("boolean")
-    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Items(sent.value)
 
         def one(text) -> bool:
@@ -336,6 +332,6 @@ def without_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
             return not any(verified(words, known.words[i], shifts, min_words, min_share) for i, shifts in by_item.items())
 
         for texts in batches:
-            yield texts.map(one)
+            yield pa.array((one(t.as_py()) for t in texts), pa.bool_(), size=len(texts))
 
     return docs.where(clean(F.coalesce(F.col(text_col), F.lit(""))))

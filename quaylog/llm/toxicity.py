@@ -16,7 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +125,6 @@ def _training_table(training: DataFrame) -> Stage:
     """
 
     def fold_all(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
         for batch in batches:
             ids, toxic, texts = batch.columns
@@ -147,7 +146,6 @@ def _word_counts(training: DataFrame) -> DataFrame:
     """(word, toxic, clean): texts of training(toxic, folded) that hold a word."""
 
     def count(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -229,7 +227,6 @@ def _calibrate(training: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     import numpy as np
 
     def raw(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
         matcher = Matcher(lexicon)
         for batch in batches:
@@ -260,7 +257,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, i
     """
 
     def score(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
         matcher = Matcher(lexicon)
         for batch in batches:
@@ -275,11 +271,11 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, i
 def toxic(text: Column, lexicon: Lexicon, threshold: float = 0.7) -> Column:
     """Whether a text is toxic; a null text counts as empty."""
 
-    @F.pandas_udf("boolean")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(lexicon)
         for texts in batches:
-            yield texts.map(lambda t: matcher.score(t) >= threshold)
+            yield pa.array((matcher.score(t.as_py()) >= threshold for t in texts), pa.bool_(), size=len(texts))
 
     return judge(F.coalesce(text, F.lit("")))
 
