@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaylog.llm import packing, secrets, simhash, spaced_seeds, toxicity
-from quaylog.llm.staging import bounded_batches, staged
+from quaylog.llm.staging import Stage, bounded_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        table = Stage(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        docs, before = table.df, table
     return STAGES[-1][1](spark, docs, sf_dir)
