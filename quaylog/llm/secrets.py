@@ -108,7 +108,6 @@ def scan(docs: DataFrame, ratio: float = RATIO, ranks_path: str | None = None, i
     """
 
     def find(batches: Iterator) -> Iterator:
-
         tokens_of = _tokens_of(ranks_path)
         for batch in batches:
             ids, texts = batch.columns

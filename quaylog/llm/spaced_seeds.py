@@ -222,7 +222,6 @@ def _by_broadcast(d: DataFrame, t: DataFrame, result: str, min_words: int, min_s
     rows = d.sparkSession.sparkContext.broadcast([tuple(r) for r in t.collect()])  # bounded by the caller
 
     def find(batches: Iterator) -> Iterator:
-
         items = Items(rows.value)
         for batch in batches:
             ids, texts = batch.columns
@@ -238,7 +237,6 @@ def _by_broadcast(d: DataFrame, t: DataFrame, result: str, min_words: int, min_s
             yield _rows(out, ids)
 
     def _rows(out: list[tuple], ids):
-
         at = pa.array([x[0] for x in out], pa.int64())
         return pa.RecordBatch.from_arrays([ids.take(at), pa.array([x[1] for x in out], kind), *(pa.array([x[k] for x in out], pa.int64()) for k in (2, 3, 4))], ["doc_id", "item_id", "matched_words", "overlap_words", "first_word"])
 
@@ -280,7 +278,6 @@ def _verified_pairs(d: DataFrame, t: DataFrame, min_words: int, min_share: float
                 yield pa.RecordBatch.from_arrays([digests.take(pa.array([i] * len(keys), pa.int64())), pa.array(keys)], ["digest", "seed"])
 
     def verify(batches: Iterator) -> Iterator:
-
         for batch in batches:
             docs, items, texts, item_texts = batch.columns
             out = []

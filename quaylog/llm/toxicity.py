@@ -125,7 +125,6 @@ def _training_table(training: DataFrame) -> Stage:
     """
 
     def fold_all(batches: Iterator) -> Iterator:
-
         for batch in batches:
             ids, toxic, texts = batch.columns
             folded = [fold(t.as_py()) for t in texts]
@@ -146,7 +145,6 @@ def _word_counts(training: DataFrame) -> DataFrame:
     """(word, toxic, clean): texts of training(toxic, folded) that hold a word."""
 
     def count(batches: Iterator) -> Iterator:
-
         for batch in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
             for toxic, folded in zip(*batch.columns, strict=True):
@@ -227,7 +225,6 @@ def _calibrate(training: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
     import numpy as np
 
     def raw(batches: Iterator) -> Iterator:
-
         matcher = Matcher(lexicon)
         for batch in batches:
             toxic, folded = batch.columns
@@ -257,7 +254,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, i
     """
 
     def score(batches: Iterator) -> Iterator:
-
         matcher = Matcher(lexicon)
         for batch in batches:
             ids, texts = batch.columns
