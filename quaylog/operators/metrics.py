@@ -64,10 +64,26 @@ def counter_ratio(counters: DataFrame) -> DataFrame:
 
 
 def cpu_recent(samples: DataFrame, minutes: int) -> DataFrame:
-    """Each sample with the whole mean of the values of the last ``minutes`` before and with it."""
-    # a range over time needs one order; samples come once a minute from one server
-    w = Window.partitionBy("server").orderBy("second").rangeBetween(-minutes * 60, 0)
-    return samples.withColumn("avg_cpu", F.round(F.coalesce(F.avg("value").over(w), F.lit(0.0)), 6).cast("int"))
+    """Each sample with the whole mean of the values of the last ``minutes`` before and with it.
+
+    Values are added up by second, and seconds are cut into stretches as long as the reach, so that a reach is the end of one stretch
+    and the beginning of the next: two running sums inside a stretch, of its seconds at most, whatever the number of
+    samples. Nothing is taken off a sum, so what lies outside a reach leaves no rounding in it.
+    """
+    reach, second = minutes * 60, F.col("second")
+    panes = samples.groupBy("server", "second").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    own = F.struct(second.alias("at"), F.col("total"), F.col("n"), F.lit(True).alias("own"))
+    # where a second's reach begins it asks for what that stretch holds from there on
+    asked = F.struct((second - reach).alias("at"), F.lit(None).cast(panes.schema["total"].dataType).alias("total"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("own"))
+    placed = panes.select("server", "second", F.explode(F.array_compact(F.array(own, F.when(second.isNotNull() & F.lit(reach > 0), asked)))).alias("x")).select("server", "second", "x.*")
+    placed = placed.withColumn("stretch", F.col("at") - F.pmod("at", F.lit(max(reach, 1))))
+    stretch = Window.partitionBy("server", "stretch")
+    since, until = (stretch.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow) for order in ("at", F.desc("at")))
+    sums = placed.select("server", "second", *[F.when(F.col("own"), F.sum(c).over(since)).otherwise(F.sum(c).over(until)).alias(c) for c in ("total", "n")])
+    whole = sums.groupBy(F.col("server").alias("_server"), F.col("second").alias("_second")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    mean = F.round(F.coalesce(F.col("total") / F.when(F.col("n") > 0, F.col("n")), F.lit(0.0)), 6).cast("int")
+    means = whole.select("_server", "_second", mean.alias("avg_cpu"))
+    return samples.join(means, samples["server"].eqNullSafe(means["_server"]) & samples["second"].eqNullSafe(means["_second"])).drop("_server", "_second")
 
 
 def wait_stats(waits: DataFrame) -> DataFrame:

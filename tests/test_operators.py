@@ -138,3 +138,18 @@ def test_time_bounds(spark):
     assert filters.time_bounded(df, "2024-01-01 00:00:00", 1).count() == 2
     assert filters.time_bounded(df, "2024-01-01 00:00:30").count() == 2
     assert filters.map_database(df, {"d": "e"}).select(F.first("database_name")).first()[0] == "e"
+
+
+def test_recent_cpu_equals_a_loop(spark):
+    rng = random.Random(9)
+    seconds = [rng.choice([None, *range(-130, 700)]) for _ in range(500)]
+    rows = [(i, rng.choice([1, 1, 2, None]), s, rng.choice([None, rng.uniform(0, 100), 50.0])) for i, s in enumerate(seconds)] + [(900, 3, 5, None), (901, 3, 5000, 7.0)]
+    df = spark.createDataFrame(rows, "e long, server long, second long, value double")
+    for minutes in (0, 1, 3):
+        want = {}
+        for e, server, second, _ in rows:
+            inside = [v for _, a, s, v in rows if a == server and v is not None and (s is second is None or None not in (s, second) and 0 <= second - s <= minutes * 60)]
+            want[e] = int(round(sum(inside) / len(inside), 6)) if inside else 0
+        assert {r["e"]: r["avg_cpu"] for r in metrics.cpu_recent(df, minutes).collect()} == want
+    # no frame that moves at both ends, which is added up anew for every row
+    assert "RangeFrame, -" not in metrics.cpu_recent(df, 3)._jdf.queryExecution().optimizedPlan().toString()
