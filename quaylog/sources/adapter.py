@@ -24,17 +24,18 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starting and completed statements, with the columns of a capture."""
-    d = user_events(spark, sf_dir)
-    e, u, t, k, c = (F.col(x) for x in "eutkc")
+    # numbers are written once, though the texts name them several times
+    d = user_events(spark, sf_dir).withColumns({"us": F.col("u").cast("string"), "ks": F.col("k").cast("string")})
+    e, u, t, k, c, us, ks = (F.col(x) for x in ("e", "u", "t", "k", "c", "us", "ks"))
     texts = (
-        F.concat(F.lit("SELECT * FROM T_"), t, F.lit(" WHERE ID = "), k, F.lit(" AND NAME = N'n"), u, F.lit("'")),
-        F.concat(F.lit("exec dbo.p_"), t, F.lit(" @Id="), k, F.lit(",@Name=N'it''s "), u, F.lit("'")),
-        F.concat(F.lit("select a from t where id in ("), k, F.lit(","), u, F.lit(") -- note "), k),
-        F.concat(F.lit("/* c "), k, F.lit(" */ UPDATE T SET B = 0xAF"), k, F.lit(" WHERE ID=-"), k, F.lit(".5")),
+        F.concat(F.lit("SELECT * FROM T_"), t, F.lit(" WHERE ID = "), ks, F.lit(" AND NAME = N'n"), us, F.lit("'")),
+        F.concat(F.lit("exec dbo.p_"), t, F.lit(" @Id="), ks, F.lit(",@Name=N'it''s "), us, F.lit("'")),
+        F.concat(F.lit("select a from t where id in ("), ks, F.lit(","), us, F.lit(") -- note "), ks),
+        F.concat(F.lit("/* c "), ks, F.lit(" */ UPDATE T SET B = 0xAF"), ks, F.lit(" WHERE ID=-"), ks, F.lit(".5")),
         F.lit("exec sp_reset_connection"),
-        F.concat(F.lit("declare @p1 int set @p1="), u, F.lit(" exec sp_prepare @p1 output,NULL,N'select * from t_"), t, F.lit(" where id = @x' select @p1")),
-        F.concat(F.lit("exec sp_execute "), u, F.lit(","), k),
-        F.concat(F.lit("EXEC sp_executesql N'select * from t_"), t, F.lit(" where v = "), k, F.lit("'")),
+        F.concat(F.lit("declare @p1 int set @p1="), us, F.lit(" exec sp_prepare @p1 output,NULL,N'select * from t_"), t, F.lit(" where id = @x' select @p1")),
+        F.concat(F.lit("exec sp_execute "), us, F.lit(","), ks),
+        F.concat(F.lit("EXEC sp_executesql N'select * from t_"), t, F.lit(" where v = "), ks, F.lit("'")),
     )
     text = F.lit(None).cast("string")
     for i, x in enumerate(texts):

@@ -84,3 +84,30 @@ def test_trimming_looks_at_ends_only(spark):
     out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sql_text.trim_all(F.col("t")).alias("s"))
     assert all(r["s"] == (r["t"] and r["t"].strip(sql_text.WHITE)) for r in out.collect())
     assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_that_are_left_out_change_nothing(spark):
+    rng = random.Random(5)
+    parts = ["A", " ", "  ", "\t", " ", "é", "'", "''", "N", "{STR}", "0X1F", "@B = 1", "IN (", "{##}", ")", ",", "= -1.5"]
+    df = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(12))),) for _ in range(2000)] + [(None,)], "t string")
+    t = F.col("t")
+    plain = F.replace(F.regexp_replace(F.replace(t, F.lit("''"), F.lit("{STR}")), r"'[^']*+(?:''[^']*+)*+'|'[^']*+'", "{STR}"), F.lit("N{STR}"), F.lit("{NSTR}"))
+    plain = F.regexp_replace(F.regexp_replace(plain, "0X[0-9ABCDEF]++", "{BINARY}"), r"([(\s,=\-><!&|+*/%~$])[-.\d]++", r"$1{##}")
+    pairs = [(sql_text.constants(t), plain)] + [(sql_text._where(sign, step)(t), step(t)) for sign, step in (("@", sql_text.param_values), ("{", sql_text.in_lists), (",", sql_text.spread_csv))]
+    pairs.append((F.when(sql_text._uneven(t), sql_text.collapse_spaces(t)).otherwise(t), sql_text.collapse_spaces(t)))
+    for one, other in pairs:
+        assert df.where(~one.eqNullSafe(other)).isEmpty()
+
+
+def test_methods_are_compiled(spark):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    from quaylog.operators import analysis, partials
+    from quaylog.sources import adapter
+
+    events = adapter.workload_events(spark, "/root/testdata/sf0.001").withColumn("interval_id", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no stages before it runs
+    try:
+        stages = partials.partials(analysis.templated(events))._jdf.queryExecution().debug().codegenToSeq()
+        assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
