@@ -90,8 +90,8 @@ _ALL = _execs_sql("cap")
 _BASE = [f"cap1 AS (SELECT * FROM cap WHERE start_time < TIMESTAMP '{SPLIT}')", f"cap2 AS (SELECT * FROM cap WHERE start_time >= TIMESTAMP '{SPLIT}')", _execs_sql("cap1", mark="1"), _execs_sql("cap2", mark="2")]
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    return adapter.workload_events(spark, d)
+def events(spark: SparkSession, d: str, spread: bool = False) -> DataFrame:
+    return adapter.workload_events(spark, d, spread)
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
@@ -680,7 +680,7 @@ def xe_documents(df: DataFrame) -> DataFrame:
 
 @_query("xe_events", _with(f"SELECT {_CAP_COLUMNS} FROM cap"))
 def _(s, d):
-    return parsers.parse_xe(xe_documents(events(s, d)))
+    return parsers.parse_xe(xe_documents(events(s, d, spread=True)))
 
 
 _CLASSES = {2: 11, -3: 13, 1: 10, 3: 12}
@@ -709,7 +709,7 @@ def _xe(name, *fields):
 def _(s, d):
     """Logins: those from a pool are no events, others reset their connection."""
     login = _xe("login", ("data", "is_cached", F.when(F.col("session_id") % 2 == 0, "true").otherwise("false")), ("action", "event_sequence", F.col("event_sequence")))
-    return parsers.parse_xe(events(s, d).select(login.alias("event_data"))).select("event_sequence", "event_type", "sql_text")
+    return parsers.parse_xe(events(s, d, spread=True).select(login.alias("event_data"))).select("event_sequence", "event_type", "sql_text")
 
 
 @_query("user_error_events", _with(f"""SELECT event_sequence, CASE WHEN session_id % 3 = 0 THEN 7 ELSE 5 END AS event_type, client_host_name AS sql_text, CASE WHEN session_id % 3 = 0 THEN 0 ELSE session_id * 1000000 END::BIGINT AS cpu,
@@ -719,7 +719,7 @@ def _(s, d):
     third, session = F.col("session_id") % 3, F.col("session_id").cast("string")
     mark = F.when(third == 1, F.concat(F.lit(parsers.TOOL_PREFIX + "Timeout["), session, F.lit("]"))).when(third == 2, F.concat(F.lit("other "), session))
     event = _xe("user_event", ("data", "event_id", F.when(third == 0, parsers.ERROR_EVENT).otherwise(parsers.TIMEOUT_EVENT)), ("data", "user_info", mark), ("data", "user_data", F.col("client_host_name")), ("action", "event_sequence", F.col("event_sequence")))
-    return parsers.parse_xe(events(s, d).select(event.alias("event_data"))).select("event_sequence", "event_type", "sql_text", "cpu", "duration")
+    return parsers.parse_xe(events(s, d, spread=True).select(event.alias("event_data"))).select("event_sequence", "event_type", "sql_text", "cpu", "duration")
 
 
 @_query("with_ids", _with("""SELECT coalesce(i.id, -1) AS client_app_name_id, count(*) AS n FROM cap LEFT JOIN (SELECT row_number() OVER (ORDER BY f.a, f.b, name) - 1 AS id, name FROM (SELECT client_app_name AS name, min({'a': start_time, 'b': event_sequence}) AS f FROM cap WHERE client_app_name IS NOT NULL GROUP BY 1) x) i

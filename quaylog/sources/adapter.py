@@ -22,10 +22,17 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def workload_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starting and completed statements, with the columns of a capture."""
+def workload_events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Starting and completed statements, with the columns of a capture.
+
+    ``spread`` deals the events out before they are widened, for work that needs no shuffle: a scan has no more
+    tasks than the file has row groups, and some 20 bytes of an event become a kilobyte of XML.
+    """
+    d = user_events(spark, sf_dir)
+    if spread:
+        d = d.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "e")
     # numbers are written once, though the texts name them several times
-    d = user_events(spark, sf_dir).withColumns({"us": F.col("u").cast("string"), "ks": F.col("k").cast("string")})
+    d = d.withColumns({"us": F.col("u").cast("string"), "ks": F.col("k").cast("string")})
     e, u, t, k, c, us, ks = (F.col(x) for x in ("e", "u", "t", "k", "c", "us", "ks"))
     texts = (
         F.concat(F.lit("SELECT * FROM T_"), t, F.lit(" WHERE ID = "), ks, F.lit(" AND NAME = N'n"), us, F.lit("'")),
